@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the control characters 9 to 13.
@@ -56,3 +56,16 @@ def at_most(col: Column, bounds: list) -> Column:
     first = F.size(F.filter(longs([g[0] for g in groups]), lambda x: x <= col))
     inside = F.size(F.filter(F.get(F.array(*[longs(g) for g in groups]), first - 1), lambda x: x <= col))
     return F.when(first == 0, F.lit(0)).otherwise((first - 1) * step + inside)
+
+
+def running(df: DataFrame, within: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` over all rows before this one within `within`, ordered by `bucket`, then `order`.
+
+    Two levels: buckets (which must follow the order) are summed first, and only those sums meet in one window.
+    """
+    sums = df.groupBy(*within, bucket).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*within, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_base"))
+    inside = Window.partitionBy(*within, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
+    return placed.join(base, [*within, bucket]).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in")

@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_qda, quality_rules, toxicity
+from . import bpe_tree, mixing, quality_qda, quality_rules, toxicity
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe_tree.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), ["doc_id"]))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_qda.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~quality_qda.learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= quality_qda.THRESHOLD).cast("int").alias("predicted"))
@@ -26,6 +46,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
+    "op4_bpe_encoding": op4_bpe_encoding,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
