@@ -44,6 +44,7 @@ class Encoder:
         self.tok.no_padding()
         self.known: dict[bytes, tuple[list[int], str]] = {}
         self.plain = self.tok.decoder is None
+        self.pieces = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.apart = all(self._ids(f"a{w}b") == self._ids("a") + self._ids("b") and not self._ids(w) for w in WHITE)
 
     def _ids(self, text: str) -> list[int]:
@@ -60,7 +61,8 @@ class Encoder:
         new = list(set().union(*texts).difference(self.known))
         found = self.tok.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
         if self.plain:
-            self.known.update((r, (e.ids, " ".join(e.tokens))) for r, e in zip(new, found))
+            piece = self.pieces.__getitem__
+            self.known.update((r, (ids, " ".join(map(piece, ids)))) for r, ids in zip(new, [e.ids for e in found]))
         else:
             self.known.update((r, (e.ids, "")) for r, e in zip(new, found))
 
