@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, mixing, near_dedup, quality_qda, quality_rules, toxicity
+from . import bpe_tree, mixing, near_dedup, quality_qda, quality_rules, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_tree.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), ["doc_id"]))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_qda.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~quality_qda.learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= quality_qda.THRESHOLD).cast("int").alias("predicted"))
@@ -49,13 +54,54 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.plan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_token_counts": op5_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SHARDS = """
+WITH t AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS v FROM range(256) AS r(i)),
+e AS (SELECT DISTINCT md5(coalesce(text, '')) AS m, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+crc AS (SELECT m, CAST(xor(list_reduce(list_transform(range(n), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda a, b: xor(a // 256, t.v[1 + CAST(xor(a % 256, b) AS BIGINT)]), 4294967295), 4294967295) AS BIGINT) AS crc FROM e, t),
+k AS (SELECT doc_id, md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) + 8 AS size FROM documents),
+o AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS rank, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY m) AS whole
+      FROM k WINDOW w AS (ORDER BY m, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, min(before) OVER (PARTITION BY m) AS start FROM o),
+s AS (SELECT *, CAST(least(floor(CASE WHEN whole <= 0.005 * total / 24 THEN start + whole / 2 ELSE before + size / 2 END * 24 / total), 23) AS INTEGER) AS shard FROM g)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, CAST(rank - min(rank) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN crc USING (m)
+"""
+
+_MIX = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, (sid - 1) % 3 + 1 AS w, size * 3 AS cap, sum(size) OVER () AS total FROM s),
+r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+c AS (SELECT *, cap * rest <= (total - before) * w AS capped FROM r),
+t AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS DOUBLE) * w / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM c),
+u AS (SELECT *, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / total AS hi, greatest(1, least(4096, CAST(floor(min(CASE WHEN target > 0 THEN target END) OVER () / 1000) AS BIGINT))) AS block FROM t),
+v AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo FROM u),
+p AS (SELECT (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x FROM range(CAST((SELECT ceil(max(total) / max(block)) FROM u) AS BIGINT)) AS q(i)),
+n AS (SELECT sid, count(*) AS slots FROM p JOIN v ON x - floor(x) >= lo AND (x - floor(x) < hi OR hi >= 1 - 1e-9) AND hi > lo GROUP BY sid),
+o AS (SELECT d.doc_id, d.source, d.size, v.size AS source_size, v.target, least(coalesce(n.slots, 0) * v.block, 3 * v.size) AS words,
+             sum(d.size) OVER (PARTITION BY v.sid ORDER BY k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+      FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN n ON n.sid = v.sid)
+SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(greatest(0, least(words - start, size)) + greatest(0, least(words - start - source_size, size)) + greatest(0, least(words - start - 2 * source_size, size)) AS BIGINT) AS taken
+FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": _MIX.replace("\\\\", "\\"),
+    "op10_sharding": _SHARDS,
+}
