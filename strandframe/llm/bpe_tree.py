@@ -7,7 +7,7 @@ two (or the text ends). Every two tokens that follow each other are then consecu
 surroundings, which is what makes a sequence of BPE tokens the encoding of the whole; so the result equals that of the
 undivided text.
 
-Inside a leaf, runs without ASCII white space are encoded once each and remembered, where the tokenizer's normaliser
+Inside a leaf, the different runs without ASCII white space of a batch are encoded once each, where the tokenizer's normaliser
 and pre-tokeniser drop white space and so never join across it (tested when the tokenizer is loaded); otherwise the
 leaf goes to the library as it is. Special tokens' strings inside texts are treated as the library does by default.
 
@@ -17,32 +17,37 @@ encoded row by row; an empty table gives an empty table; extra columns are carri
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PART = 32_768
 WINDOW = 64
-REMEMBERED = 200_000
-#: Texts encoded together.
-ROWS = 1024
+#: Characters from either end of a part within which tokens keep their positions, for joining.
+EDGE = 512
+#: Bytes of text encoded together, and different runs handed to the library at once.
+SLICE, RUNS = 24_000_000, 10_000
 WHITE = " \t\n\r\x0b\x0c"
 
 
 class Encoder:
-    """A tokenizers-library tokenizer with remembered runs."""
+    """A tokenizers-library tokenizer that encodes each different run of a batch once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[bytes, tuple[list[int], str]] = {}
         self.plain = self.tok.decoder is None
         self.pieces = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.apart = all(self._ids(f"a{w}b") == self._ids("a") + self._ids("b") and not self._ids(w) for w in WHITE)
@@ -55,33 +60,53 @@ class Encoder:
         e = self.tok.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
 
-    def _learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        found = self.tok.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-        if self.plain:
-            piece = self.pieces.__getitem__
-            self.known.update((r, (ids, " ".join(map(piece, ids)))) for r, ids in zip(new, [e.ids for e in found]))
-        else:
-            self.known.update((r, (e.ids, "")) for r, e in zip(new, found))
-
-    def ids(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
-        """Ids and decoded text of each text."""
-        out: list[tuple[list[int], str]] = []
-        if not self.apart:
-            found = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-            return [(i, self.decode(i)) for i in found]
-        some = [(t or "").encode().split() for t in texts]
-        self._learn(some)
-        known = self.known
-        for runs in some:
-            got = [known[r] for r in runs]
-            ids = list(chain.from_iterable([g[0] for g in got]))
-            out.append((ids, " ".join([g[1] for g in got if g[0]]) if self.plain else self.decode(ids)))
+    def zoned(self, texts: list[str]) -> list[list[tuple]]:
+        """As `tokens`, but all between white space EDGE characters from either end as one entry (a tuple of ids)."""
+        spans = []
+        for t in texts:
+            head, tail = re.compile(r"[ \n]").search(t, EDGE), max(t.rfind(" ", 0, -EDGE), t.rfind("\n", 0, -EDGE))
+            spans.append((head.start(), tail) if self.apart and head and head.start() < tail else None)
+        inner = iter(self.encode([t[s[0] : s[1]] for t, s in zip(texts, spans) if s])[0].to_pylist())
+        out = []
+        for t, s in zip(texts, spans):
+            if s is None:
+                out.append(self.tokens(t))
+            else:
+                ids = tuple(next(inner))
+                out.append([*self.tokens(t[: s[0]]), *([(ids, *s)] if ids else []), *[(i, a + s[1], b + s[1]) for i, a, b in self.tokens(t[s[1] :])]])
         return out
 
+    def _batch(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of each text, directly by the library."""
+        ids, decoded = [], []
+        for at in range(0, len(texts), RUNS):
+            found = [e.ids for e in self.tok.encode_batch_fast(texts[at : at + RUNS], add_special_tokens=False)]
+            ids.append(pa.array(found, pa.list_(pa.int32())))
+            decoded.append(pa.array([self.decode(i) for i in found], pa.string()))
+        return pa.concat_arrays(ids), pa.concat_arrays(decoded)
+
+    def encode(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of each text."""
+        if not texts or not (self.apart and self.plain):
+            return self._batch([t or "" for t in texts] or [""])
+        runs = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        at = runs.offsets.to_numpy()
+        flat = runs.flatten().dictionary_encode()
+        ids, decoded = self._batch(flat.dictionary.to_pylist())
+        which = flat.indices.to_numpy()
+        sizes = np.diff(ids.offsets.to_numpy())[which]
+        if not sizes.all():  # empty runs at the ends, and those that the tokenizer drops
+            held = sizes > 0
+            at = np.concatenate([[0], np.cumsum(held)])[at]
+            which, sizes = which[held], sizes[held]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        taken = ids.take(pa.array(which)).flatten()
+        words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), decoded.take(pa.array(which)))
+        return pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), taken), pc.binary_join(words, " ")
+
     def decode(self, ids: list[int]) -> str:
+        if self.plain:  # the library joins the token strings with spaces
+            return " ".join(map(self.pieces.__getitem__, ids))
         return self.tok.decode(ids, skip_special_tokens=False)
 
 
@@ -133,8 +158,13 @@ def _columns(b: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [b.column(b.schema.names.index(n)) for n in names]
 
 
-def _encoded(kept: list[pa.Array], names: list[str], found: list[tuple[list[int], str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.string())], [*names, "ids", "decoded"])
+def _slices(b: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(_columns(b, [name])[0]), 0).to_numpy(zero_copy_only=False)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield b.slice(i, j - i)
 
 
 def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", part: int = PART) -> DataFrame:
@@ -146,15 +176,15 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "
     def leaves(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in it:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
-                yield _encoded(_columns(b, keep), keep, enc.ids(_columns(b, ["_text"])[0].to_pylist()))
+            for b in _slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([*_columns(b, keep), *enc.encode(_columns(b, ["_text"])[0].to_pylist())], [*keep, "ids", "decoded"])
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in it:
-            got = [enc.tokens(t) for t in _columns(b, ["_text"])[0].to_pylist()]
-            flat = [pa.array([[t[k] for t in g] for g in got], pa.list_(pa.int32())) for k in range(3)]
+        for b in chain.from_iterable(_slices(batch, "_text") for batch in it):
+            got = enc.zoned(_columns(b, ["_text"])[0].to_pylist())
+            ids = pa.array([[list(t[0]) if isinstance(t[0], tuple) else [t[0]] for t in g] for g in got], pa.list_(pa.list_(pa.int32())))
+            flat = [ids, *[pa.array([[t[k] for t in g] for g in got], pa.list_(pa.int32())) for k in (1, 2)]]
             names = [*keep, "_text", "_row", "_part"]
             yield pa.RecordBatch.from_arrays([*_columns(b, names), *flat], [*names, "_ids", "_from", "_to"])
 
@@ -162,14 +192,17 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "
         enc = encoder(path)
         at = table.column("_part").to_pylist()
         rows = table.select(["_text", "_ids", "_from", "_to"]).take([at.index(k) for k in range(max(at) + 1)]).to_pylist()
-        ids = [t[0] for t in join_parts(enc, [(r["_text"], list(zip(r["_ids"], r["_from"], r["_to"]))) for r in rows])]
+        single = lambda x: x[0] if len(x) == 1 else tuple(x)
+        found = join_parts(enc, [(r["_text"], [(single(i), a, b) for i, a, b in zip(r["_ids"], r["_from"], r["_to"])]) for r in rows])
+        ids = list(chain.from_iterable(t[0] if isinstance(t[0], tuple) else (t[0],) for t in found))
         # equal rows meet in one group and come out as often as they went in
         first = [table.slice(0, 1).column(n).combine_chunks() for n in keep]
-        return pa.Table.from_batches([_encoded(first, keep, [(ids, enc.decode(ids))])] * at.count(0))
+        row = pa.RecordBatch.from_arrays([*first, pa.array([ids], pa.list_(pa.int32())), pa.array([enc.decode(ids)])], [*keep, "ids", "decoded"])
+        return pa.Table.from_batches([row] * at.count(0))
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     starts = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / part).cast("int"))
     cut_up = long.select(*keep, "_row", "_text", F.explode(starts).alias("_part")).withColumn("_text", F.substring("_text", F.col("_part") * part + 1, F.lit(part)))
-    pieces = cut_up.repartition("_row", "_part").mapInArrow(parts, f"{out}, _text string, _row string, _part int, _ids array<int>, _from array<int>, _to array<int>")
+    pieces = cut_up.repartition("_row", "_part").mapInArrow(parts, f"{out}, _text string, _row string, _part int, _ids array<array<int>>, _from array<int>, _to array<int>")
     ready = f"{out}, ids array<int>, decoded string"
     return short.mapInArrow(leaves, ready).unionByName(pieces.groupBy("_row").applyInArrow(whole, ready))
