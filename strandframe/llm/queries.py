@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, mixing, near_dedup, quality_qda, quality_rules, sharding, token_counts, toxicity
-from .common import table
+from . import bpe_tree, chat_trees, mixing, near_dedup, quality_qda, quality_rules, sharding, token_counts, toxicity
+from .common import cut, table
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +22,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    messages = cut(chat_trees.linear(rows.unionByName(control)))
+    return chat_trees.digest(chat_trees.conversations(messages))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_source_mixing": op3_source_mixing,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_token_counts": op5_token_counts,
@@ -82,6 +90,17 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law,
 FROM s JOIN crc USING (m)
 """
 
+_CHAT = """
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+           UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+             length('### ' || replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '\\e'), '###', '\\h'), ':', '\\c') || ': '
+                    || replace(replace(replace(text, '\\', '\\\\'), '</turn>', '\\e'), '###', '\\h') || '</turn>' || chr(10)) AS chars FROM m),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said,
+             coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
 _MIX = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 s AS (SELECT source, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
@@ -102,6 +121,7 @@ FROM o
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": _CHAT,
     "op3_source_mixing": _MIX.replace("\\\\", "\\"),
     "op10_sharding": _SHARDS,
 }
