@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat_trees, mixing, near_dedup, quality_qda, quality_rules, sharding, token_counts, toxicity
+from . import bpe_tree, chat_trees, fingerprints, mixing, near_dedup, quality_qda, quality_rules, sharding, token_counts, toxicity
 from .common import cut, table
 
 
@@ -47,6 +47,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_qda.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", (~quality_qda.learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= quality_qda.THRESHOLD).cast("int").alias("predicted"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_token_counts": op5_token_counts,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
