@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import interval_queries
+from . import interval_queries, sequence_queries
 
-PARTS = [interval_queries]
+PARTS = [interval_queries, sequence_queries]
 
 
 def queries() -> dict:
