@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, interval_queries, sequence_queries
+from . import analysis_queries, format_queries, interval_queries, sequence_queries
 
-PARTS = [interval_queries, sequence_queries, analysis_queries]
+PARTS = [interval_queries, sequence_queries, analysis_queries, format_queries]
 
 
 def queries() -> dict:
