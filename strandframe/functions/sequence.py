@@ -189,7 +189,7 @@ def sam_bins(start: Column, end: Column) -> Column:
     last, parts = end - 1, [F.array(F.lit(0).cast("long"))]
     for shift in (26, 23, 20, 17, 14):
         offset = ((1 << (29 - shift)) - 1) // 7
-        parts.append(F.transform(F.sequence(F.shiftright(start, shift).cast("long"), F.shiftright(last, shift).cast("long")), lambda x, o=offset: x + o))
+        parts.append(F.sequence((F.shiftright(start, shift) + offset).cast("long"), (F.shiftright(last, shift) + offset).cast("long")))
     return F.concat(*parts)
 
 

@@ -6,7 +6,10 @@ Coordinates come out 0-based and closed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as sq
@@ -39,7 +42,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_fastq(blocks: DataFrame) -> DataFrame:
-    """read_id, descr, seq, qual from whole files (column `value`), by position within each group of four lines."""
+    """read_id, descr, seq, qual of texts that hold whole records (column `value`), by position within each group of four lines."""
     text = F.regexp_replace("value", "\r", "")
     parts = F.split(F.regexp_replace(text, "\n+$", ""), "\n")
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(parts) / 4) - 1, F.lit(0)).cast("int")), lambda i: F.struct(F.substring(F.get(parts, i * 4), F.lit(2), F.lit(1 << 30)).alias("descr"), F.get(parts, i * 4 + 1).alias("seq"), F.get(parts, i * 4 + 3).alias("qual")))
@@ -47,8 +50,65 @@ def parse_fastq(blocks: DataFrame) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line FASTQ. A record's lines cannot be told apart from within, so a file is one unit; read many files."""
-    return parse_fastq(spark.read.option("wholetext", "true").text(path))
+    """Four-line FASTQ of any size, plain or gzip: descr, seq, qual (and the file and block they came from).
+
+    Files are read in Spark's own blocks. Within a block the first line that begins with @ and has a + line two below is a
+    header (no other line can look so), which gives the phase; the incomplete records at the ends of a block go on as
+    fragments, and each block's tail is joined with the heads of the blocks after it up to the next header.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    kinds = "file string, block long, part int, descr string, seq string, qual string, rest array<string>"
+    parts = text.mapInPandas(_fastq_blocks, kinds)
+    ready = parts.where("part = 0").select("file", "block", "descr", "seq", "qual")
+    order = Window.partitionBy("file").orderBy("block", "part")
+    loose = parts.where("part <> 0").withColumn("_start", (F.col("part") == 2).cast("int")).withColumn("_g", F.sum("_start").over(order))
+    # a few lines for each block and file
+    joined = loose.groupBy("file", "_g").agg(F.min("block").alias("block"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "rest"))), lambda x: x["rest"])).alias("r"))
+    records = joined.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.size("r") / 4) - 1, F.lit(0)).cast("int")))).where(F.size("r") >= 4)
+    at = lambda k: F.get("r", F.col("_i") * 4 + k)
+    return ready.unionByName(records.select("file", "block", F.substring(at(0), 2, 1 << 30).alias("descr"), at(1).alias("seq"), at(3).alias("qual")))
+
+
+def _fastq_blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of blocks (part 0), lines before a block's first header (part 1) and after its last whole record (part 2)."""
+    held: list[str] = []
+    now: tuple | None = None
+    phased = False
+
+    def flush(last: bool) -> list[tuple]:
+        nonlocal held, phased
+        rows = []
+        if not phased:
+            found = next((i for i in range(len(held) - 2) if held[i][:1] == "@" and held[i + 2][:1] == "+"), None)
+            if found is None:
+                if last and held:
+                    rows.append((*now, 1, None, None, None, held))
+                    held = []
+                return rows
+            if found:
+                rows.append((*now, 1, None, None, None, held[:found]))
+            held, phased = held[found:], True
+        whole = len(held) // 4 * 4
+        rows += [(*now, 0, held[i][1:], held[i + 1], held[i + 3], None) for i in range(0, whole, 4)]
+        held = held[whole:]
+        if last and held:
+            rows.append((*now, 2, None, None, None, held))
+            held = []
+        return rows
+
+    names = ["file", "block", "part", "descr", "seq", "qual", "rest"]
+    for pdf in it:
+        rows: list[tuple] = []
+        for (file, block), part in pdf.groupby(["file", "block"], sort=False):
+            if now is not None and (file, block) != now:
+                rows += flush(True)
+                phased = False
+            now = (file, block)
+            held += part["value"].str.rstrip("\r").tolist()
+            rows += flush(False)
+        yield pd.DataFrame(rows, columns=names)
+    if now is not None:
+        yield pd.DataFrame(flush(True), columns=names)
 
 
 def phred_dialect(df: DataFrame, sample: int = 10_000) -> DataFrame:
