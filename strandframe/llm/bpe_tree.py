@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PART = 32_768
 WINDOW = 64
 #: Characters from either end of a part within which tokens keep their positions, for joining.
 EDGE = 512
 #: Bytes of text encoded together, and different runs handed to the library at once.
-SLICE, RUNS = 24_000_000, 10_000
+SLICE, RUNS = 16_000_000, 10_000
 WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -85,11 +87,12 @@ class Encoder:
             decoded.append(pa.array([self.decode(i) for i in found], pa.string()))
         return pa.concat_arrays(ids), pa.concat_arrays(decoded)
 
-    def encode(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[pa.Array, pa.Array]:
         """Ids and decoded text of each text."""
-        if not texts or not (self.apart and self.plain):
-            return self._batch([t or "" for t in texts] or [""])
-        runs = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts) or not (self.apart and self.plain):
+            return self._batch(texts.to_pylist() or [""])
+        runs = pc.ascii_split_whitespace(texts)
         at = runs.offsets.to_numpy()
         flat = runs.flatten().dictionary_encode()
         ids, decoded = self._batch(flat.dictionary.to_pylist())
@@ -158,30 +161,38 @@ def _columns(b: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [b.column(b.schema.names.index(n)) for n in names]
 
 
-def _slices(b: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(_columns(b, [name])[0]), 0).to_numpy(zero_copy_only=False)) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows]
-    for i, j in zip(cuts, cuts[1:]):
-        if j > i:
-            yield b.slice(i, j - i)
+def _slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in batches of about SLICE bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(_columns(batch, [name])[0]), 0).to_numpy(zero_copy_only=False)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+        for b in (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i):
+            held.append(b)
+            size += b.nbytes
+            if size >= SLICE:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", part: int = PART) -> DataFrame:
     """The columns `keep` with `ids` (array<int>) and `decoded` (string) for every row; `path` is a tokenizer.json."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep).schema
     short = docs.where(F.col(text_col).isNull() | (F.length(text_col) <= part)).select(*keep, F.col(text_col).alias("_text"))
     long = docs.where(F.length(text_col) > part).select(*keep, F.col(text_col).alias("_text"), F.concat(F.md5(F.col(text_col).cast("binary")), F.xxhash64(*keep).cast("string")).alias("_row"))
 
     def leaves(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in it:
-            for b in _slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*_columns(b, keep), *enc.encode(_columns(b, ["_text"])[0].to_pylist())], [*keep, "ids", "decoded"])
+        for b in _slices(it, "_text"):
+            yield pa.RecordBatch.from_arrays([*_columns(b, keep), *enc.encode(_columns(b, ["_text"])[0])], [*keep, "ids", "decoded"])
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in chain.from_iterable(_slices(batch, "_text") for batch in it):
+        for b in _slices(it, "_text"):
             got = enc.zoned(_columns(b, ["_text"])[0].to_pylist())
             ids = pa.array([[list(t[0]) if isinstance(t[0], tuple) else [t[0]] for t in g] for g in got], pa.list_(pa.list_(pa.int32())))
             flat = [ids, *[pa.array([[t[k] for t in g] for g in got], pa.list_(pa.int32())) for k in (1, 2)]]

@@ -23,6 +23,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text go to Python workers 1000 at a time: where the session has Spark's default (10000), it is lowered.
+
+    Long texts and several workers share an executor's memory beside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

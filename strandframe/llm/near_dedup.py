@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 ROWS, BANDS = 5, 22
 REGISTERS = ROWS * BANDS
 #: SetSketch parameters: base, rate, largest exponent.
 BASE, RATE, LARGEST = 1.001, 20.0, 65_534
 BLOCK = 256
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 UNLIKELY = 25.0
 _draw = np.random.default_rng(20240229)
 _LOW = _draw.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -292,6 +292,7 @@ def _keyed(size: int):
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (first of its component) of every row."""
+    small_batches(docs.sparkSession)
     rows = cut(sketch(docs, size))
     nodes = cut(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id()))
     comps = _component_of_nodes(docs, nodes, size, percent)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc
+from .common import cut, id_crc, small_batches
 
 FEATURES = ["log_words", "word_len", "long_words", "distinct", "runs", "top_word", "upper", "symbols", "marks", "digits", "pipes", "dup_lines"]
 SHRINK_CLASS, SHRINK_POOLED = 0.1, 0.05
@@ -110,5 +110,6 @@ def score(model: dict) -> Column:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the statistics and score of every document; one pass over the text."""
+    small_batches(docs.sparkSession)
     found = cut(features(docs))
     return found.withColumn("score", score(fit(found, labels)))

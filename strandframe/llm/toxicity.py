@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc
+from .common import cut, id_crc, small_batches
 
 MAX_EXAMPLES = 3000
 MAX_TERMS = 2000
@@ -35,7 +35,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.5
 #: Words that a worker remembers with their terms; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 STRIPPED = ".,;:!?*#$%&|\"'()[]"
 
 
@@ -206,6 +206,7 @@ def _vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the sparse vector of every document (doc_id, terms, tf)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learns(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     pick = lambda y: marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES)
