@@ -14,7 +14,7 @@ from strandframe.llm.queries import tokenizer
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the weakly supervised rules reject go."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

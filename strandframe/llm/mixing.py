@@ -119,10 +119,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, rows, n, slots, block = _sizes(sources)
     counted = schedule(sources, slots).groupBy("sid").agg(F.count(F.lit(1)).alias("taken_slots"))
     sources = cut(sources.join(counted, "sid", "left").fillna(0, ["taken_slots"]))
-    whole = _sized(docs, [c for c in docs.columns if c not in ("doc_id", "source")])
+    whole = _sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")), ["text", "_doc"]).drop("text")
     placed = _placed(whole.where("size > 0"), sources, n, rows)
     end = F.least(F.col("taken_slots") * block, F.col("source_size") * MOST_REPEATS)
     copies = F.ceil((end - F.col("start")) / F.col("source_size"))
-    return placed.where(copies > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    return placed.where(copies > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("_doc.*")
 
 

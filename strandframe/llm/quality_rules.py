@@ -130,6 +130,12 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _judged(counted, model)
 
 
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns, whatever they are called."""
+    judged = judge(docs.select(F.col(text_col).alias("text"), F.struct("*").alias("_doc")))
+    return judged.where("kept").select("_doc.*")
+
+
 def _judged(counted: DataFrame, model: dict) -> DataFrame:
     c = F.col("counts")
     return counted.withColumn("base_failed", base_failed(c)).withColumn("p_good", posterior(c, model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

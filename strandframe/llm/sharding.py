@@ -79,5 +79,5 @@ def plan(docs: DataFrame, n_shards: int = 24) -> DataFrame:
 
 def sharded(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """All columns of `docs` with shard and slot, to be written with partitionBy("shard"); the text is shuffled once."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return assign(cut(keyed(docs)), keyed(docs, *rest), n_shards).select(*docs.columns, "shard", "slot")
+    whole = keyed(docs.select("doc_id", "text", F.struct("*").alias("_doc")), "_doc")
+    return assign(cut(keyed(docs)), whole, n_shards).select("_doc.*", "shard", "slot")
