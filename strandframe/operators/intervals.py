@@ -1,8 +1,8 @@
 """Interval joins and interval-set operators over closed, 0-based intervals (columns chrom, start, end).
 
 Joins are equi-joins on (chrom, bin) with the range test as a residual condition: an interval is exploded into the bins
-that it touches, and a pair is kept only in its first common bin, so no distinct is needed. Sets are sweeps: windows
-over sorted interval ends. Both spread over executors by chromosome and bin; the sweeps first sum events by position.
+that it touches, and a pair is kept only in its first common bin, so no distinct is needed. Sets are sweeps over
+sorted interval ends in two levels (see `blocked`): both spread over executors by chromosome and bin or block.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocked import blocked, running
+
 BIN = 1024
 
 
@@ -60,18 +62,19 @@ def nearest(queries: DataFrame, features: DataFrame, strict: bool = False) -> Da
     latest start at or before the query's start). Ties go to the least feat_id. Found by one sort of both tables.
     """
     q = queries.withColumn("_q", F.monotonically_increasing_id())
-    nothing = F.lit(None).cast("struct<start:bigint,end:bigint,feat_id:bigint>")
-    feature = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("feat_id").cast("long").alias("feat_id"))
-
-    def sweep(at_feature: Column, at_query: Column, feature_first: bool, forward: bool, tie: Column) -> DataFrame:
-        f = features.select("chrom", at_feature.cast("long").alias("_at"), F.lit(0 if feature_first else 1).alias("_o"), tie.alias("_tie"), F.lit(None).cast("long").alias("_q"), feature.alias("_f"))
-        w = q.select("chrom", at_query.cast("long").alias("_at"), F.lit(1 if feature_first else 0).alias("_o"), F.lit(0).cast("long").alias("_tie"), "_q", nothing.alias("_f"))
-        order = Window.partitionBy("chrom").orderBy("_at", "_o", "_tie") if forward else Window.partitionBy("chrom").orderBy(F.desc("_at"), F.desc("_o"), F.desc("_tie"))
-        return f.unionByName(w).withColumn("_hit", F.last("_f", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_q is not null").select("_q", "_hit")
-
-    after = sweep(F.col("start"), F.col("end"), True, False, F.col("feat_id")).withColumnRenamed("_hit", "_next")
-    before = sweep(F.col("start" if strict else "end"), F.col("start") - (0 if strict else 1), True, True, -F.col("feat_id")).withColumnRenamed("_hit", "_prev")
-    out = q.join(after, "_q").join(before, "_q")
+
+    def sweep(at_feature: Column, at_query: Column, feature_first: bool) -> DataFrame:
+        """For each query the feature with the greatest (position, -feat_id) at or under the query's position."""
+        hit = F.struct(at_feature.cast("long").alias("at"), (-F.col("feat_id")).cast("long").alias("tie"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("feat_id").cast("long").alias("feat_id"))
+        f = features.select("chrom", at_feature.cast("long").alias("_at"), F.lit(0 if feature_first else 1).alias("_o"), F.lit(None).cast("long").alias("_q"), hit.alias("_f"))
+        w = q.select("chrom", at_query.cast("long").alias("_at"), F.lit(1 if feature_first else 0).alias("_o"), "_q")
+        both = f.unionByName(w, allowMissingColumns=True)
+        return running(blocked(both, "_at"), ("chrom",), ["_at", "_o"], maxima={"_hit": F.col("_f")}).where("_q is not null").select("_q", "_hit")
+
+    # positions are negated to look ahead: the query comes before features at its own place
+    after = sweep(-F.col("start"), -F.col("end"), False).withColumnRenamed("_hit", "_next")
+    before = sweep(F.col("start" if strict else "end"), F.col("start") - (0 if strict else 1), True).withColumnRenamed("_hit", "_prev")
+    out = q.join(after, "_q", "left").join(before, "_q", "left")
     for k in ("start", "end", "feat_id"):
         out = out.withColumn(f"next_{k}", F.col("_next")[k]).withColumn(f"prev_{k}", F.col("_prev")[k])
     return out.drop("_q", "_next", "_prev")
@@ -82,9 +85,11 @@ def merge(df: DataFrame, separation: int = 0, by: tuple = ("chrom",), least: int
 
     Columns of `by`, start, end and n (intervals merged); unions shorter than `least` are left out.
     """
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", (before.isNull() | (F.col("start") > before + separation)).cast("int")).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start", "end"]
+    reached = running(blocked(df, "start"), by, order, maxima={"_before": F.col("end")}, current=False)
+    opens = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + separation), F.col("start"))
+    # starts of unions only grow, so the greatest so far names the union that a row belongs to
+    islands = running(reached, by, order, maxima={"_island": opens})
     out = islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
     return out.where(F.col("end") - F.col("start") + 1 >= least)
 
@@ -93,8 +98,7 @@ def depth(df: DataFrame, by: tuple = ("chrom",), value: str = "depth", most: int
     """Run-length coverage: by, start, end and depth of every stretch (depth 0 between, not before or after)."""
     events = df.select(*by, F.col("start").alias("_at"), F.lit(1).alias("_d")).unionByName(df.select(*by, (F.col("end") + 1).alias("_at"), F.lit(-1).alias("_d")))
     events = events.groupBy(*by, "_at").agg(F.sum("_d").alias("_d"))
-    order = Window.partitionBy(*by).orderBy("_at")
-    runs = events.withColumn("_sum", F.sum("_d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead("_at").over(order)).where("_next is not null")
+    runs = running(blocked(events, "_at"), by, ["_at"], sums={"_sum": F.col("_d")}, following=("_at", "_next")).where("_next is not null")
     shown = F.col("_sum") if most is None else F.least(F.col("_sum"), F.lit(most))
     return runs.select(*by, F.col("_at").alias("start"), (F.col("_next") - 1).alias("end"), shown.alias(value))
 
@@ -114,9 +118,8 @@ def set_operation(ref: DataFrame, rel: DataFrame, kind: str, join_distance: int
     if kind == "neither":
         events = events.unionByName(events.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("_at"), F.lit(0).alias("_d"), F.lit("ref").alias("_side")))
     flat = events.groupBy("chrom", "_at").agg(F.sum(F.when(F.col("_side") == "ref", F.col("_d")).otherwise(0)).alias("a"), F.sum(F.when(F.col("_side") == "rel", F.col("_d")).otherwise(0)).alias("b"))
-    order = Window.partitionBy("chrom").orderBy("_at")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = flat.withColumn("a", F.sum("a").over(run) > 0).withColumn("b", F.sum("b").over(run) > 0).withColumn("_next", F.lead("_at").over(order)).where("_next is not null")
+    swept = running(blocked(flat, "_at"), ("chrom",), ["_at"], sums={"_a": F.col("a"), "_b": F.col("b")}, following=("_at", "_next"))
+    runs = swept.where("_next is not null").select("chrom", "_at", "_next", (F.col("_a") > 0).alias("a"), (F.col("_b") > 0).alias("b"))
     test = {"intersect": "a and b", "ref_only": "a and not b", "rel_only": "b and not a", "union": "a or b", "neither": "not a and not b"}[kind]
     parts = runs.where(test).select("chrom", F.col("_at").alias("start"), (F.col("_next") - 1).alias("end"))
     # neighbouring parts of one region lie one base apart
@@ -126,9 +129,8 @@ def set_operation(ref: DataFrame, rel: DataFrame, kind: str, join_distance: int
 
 def dedupe(df: DataFrame, by: tuple = ("chrom", "strand")) -> DataFrame:
     """Elements neither contained in another of their group nor shorter than one with the same start."""
-    order = Window.partitionBy(*by).orderBy("start", F.desc("end"), "el_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max("end").over(order)
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("end") > F.col("_before"))).drop("_before")
+    reached = running(blocked(df, "start"), by, ["start", F.desc("end"), "el_id"], maxima={"_before": F.col("end")}, current=False)
+    return reached.where(F.col("_before").isNull() | (F.col("end") > F.col("_before"))).select(*df.columns)
 
 
 def join_near(df: DataFrame, overlap: int, by: tuple = ("chrom", "strand")) -> DataFrame:
@@ -153,9 +155,10 @@ def greedy_non_overlapping(df: DataFrame) -> DataFrame:
     What is kept depends on what was kept before, so each chromosome is one sequential scan. Only elements of one
     island of overlapping intervals depend on each other, so islands, not whole chromosomes, are the groups.
     """
-    order = Window.partitionBy("chrom").orderBy("start", "end", "el_id")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", (before.isNull() | (F.col("start") > before)).cast("int")).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    order = ["start", "end", "el_id"]
+    reached = running(blocked(df, "start"), ("chrom",), order, maxima={"_before": F.col("end")}, current=False)
+    opens = F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before")), F.col("start"))
+    islands = running(reached, ("chrom",), order, maxima={"_island": opens})
     item = F.struct("start", "end", "el_id")
     start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
