@@ -24,7 +24,7 @@ MOST_REPEATS = 3
 #: Words in a slot at most; smaller where the least target would have under SLOTS_LEAST slots.
 BLOCK_WORDS, SLOTS_LEAST = 4096, 1000
 GOLDEN = 0.6180339887498949
-ROWS_A_BUCKET, SLOTS_A_CHUNK, CELLS = 20_000, 65_536, 1024
+ROWS_A_BUCKET, SLOTS_A_CHUNK, CELLS = 4_000, 65_536, 1024
 #: Up to so many sources their table is broadcast; beyond that it is joined.
 SOURCES_BROADCAST = 10_000
 
