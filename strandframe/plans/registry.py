@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment_queries, analysis_queries, format_queries, interval_queries, sequence_queries
+from . import alignment_queries, analysis_queries, format_queries, interval_queries, more_queries, sequence_queries
 
-PARTS = [interval_queries, sequence_queries, analysis_queries, format_queries, alignment_queries]
+PARTS = [interval_queries, sequence_queries, analysis_queries, format_queries, alignment_queries, more_queries]
 
 
 def queries() -> dict:

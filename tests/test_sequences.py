@@ -189,3 +189,22 @@ def test_assembly_joins_overlapping_pieces(spark):
     rows = [(i, genome[i * 30 : i * 30 + 60]) for i in range(5)]
     got = [x.seq for x in dc.assembled(spark.createDataFrame(rows, "read_id long, seq string"), [25]).collect()]
     assert got == [genome[:180]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.text("AC", min_size=1, max_size=20), hs.text("AC", min_size=1, max_size=20))
+def test_trimmed_match_is_the_longest(a, b):
+    from strandframe.operators.longread import trimmed_match
+
+    n = min(len(a), len(b))
+    wrong = [x != y for x, y in zip(a, b)]
+    want = next(((i, s) for s in range(n, 0, -1) for i in range(n - s + 1) if sum(wrong[i : i + s]) * 100 <= 20 * s), (0, 0))
+    assert trimmed_match(a, b, 20, 1) == want
+
+
+def test_random_draws_have_their_moments(spark):
+    from strandframe.functions import random as rn
+
+    k = F.col("id")
+    r = spark.range(20000).agg(F.avg(rn.normal(k)).alias("m"), F.stddev(rn.normal(k)).alias("s"), F.avg(rn.poisson(k, 4.0)).alias("p"), F.avg(rn.gamma(k, 3)).alias("g"), F.avg(rn.beta(k, 2, 2)).alias("b")).first()
+    assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.03 and abs(r.p - 4) < 0.08 and abs(r.g - 3) < 0.08 and abs(r.b - 0.5) < 0.02
