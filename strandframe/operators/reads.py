@@ -135,7 +135,7 @@ def filtered_with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFram
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """n rows drawn without replacement by the order of a seeded hash of their key; reruns agree."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def shuffled(seq: Column, key: Column, seed: int = 0) -> Column:

@@ -10,6 +10,7 @@ from strandframe.operators import alignment as al
 from strandframe.operators import discovery as dc
 from strandframe.operators import features as ft
 
+from .analysis_queries import BITS
 from .shapes import shape, sql
 
 Q: dict = {}
@@ -101,7 +102,7 @@ def _(loci):
     return al.splice_junctions(h, 40).groupBy("read_id", "chrom", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j18_contaminant_trim", "reads")
+@query("j18_contaminant_trim", "reads", oracle="""WITH a AS (SELECT DISTINCT substring(seq, 21, 30) AS ad FROM reads WHERE length(seq) >= 80 AND read_id < 40), r AS (SELECT read_id, substring(seq, 1, 40) AS s FROM reads), h AS (SELECT read_id, max(n) AS n FROM r, a, range(8, 31) AS q(n) WHERE n <= length(s) AND hamming(right(s, CAST(n AS BIGINT)), left(ad, CAST(n AS BIGINT))) <= CASE WHEN n < 15 THEN 0 ELSE n // 25 END GROUP BY read_id) SELECT r.read_id, CAST(coalesce(h.n, 0) AS INTEGER) AS trim FROM r LEFT JOIN h ON h.read_id = r.read_id""")
 def _(reads):
     adaptors = reads.where("length(seq) >= 80 AND read_id < 40").select(F.substring("seq", 21, 30).alias("seq"))
     return al.contaminant_trim(reads.withColumn("seq", F.substring("seq", 1, 40)), adaptors, 8).select("read_id", "trim")
@@ -233,7 +234,7 @@ def _(reads):
     return dc.homozygous_reduced(reads.where("read_id < 300"), 12, 60).select("read_id")
 
 
-@query("f8_region_filter", "sparse", "exons", oracle=None)
+@query("f8_region_filter", "sparse", "exons", oracle=BITS + "SELECT el_id, bits FROM (SELECT el_id, bit_or(bits) AS bits FROM b GROUP BY el_id) WHERE bits IN (1, 8)")
 def _(loci, exons):
     from strandframe.operators.filters import region
 

@@ -150,7 +150,8 @@ def _(loci):
     return ex.artefacts_reduced(counted, "n", 3, 10)
 
 
-@query("a10_coalesced_reads", "sparse")
+@query("a10_coalesced_reads", "sparse", oracle="""WITH RECURSIVE c AS (SELECT chrom, strand, start, count(*) AS n, row_number() OVER (PARTITION BY chrom, strand ORDER BY start) AS rn FROM sparse GROUP BY chrom, strand, start), g AS (SELECT chrom, strand, rn, n, start AS anchor FROM c WHERE rn = 1
+ UNION ALL SELECT c.chrom, c.strand, c.rn, c.n, CASE WHEN c.start < g.anchor + 20 THEN g.anchor ELSE c.start END FROM g JOIN c ON c.chrom = g.chrom AND c.strand = g.strand AND c.rn = g.rn + 1) SELECT chrom, strand, anchor AS start, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY chrom, strand, anchor""")
 def _(loci):
     return ex.coalesced(loci, 20)
 
@@ -195,9 +196,14 @@ def _(features):
     return remapped(features, contigs).select("feat_id", "chrom", "start", "end")
 
 
-@query("a30_snp_candidates", "snps")
+LC = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+
+
+@query("a30_snp_candidates", "snps", oracle="""WITH b AS (SELECT locus, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM snps GROUP BY locus), d AS (SELECT locus, a + c + g + t AS cov, a + c + g + t - greatest(a, c, g, t) AS alt FROM b), r AS (SELECT *, greatest(0.01, sum(alt) OVER () * 1.0::DOUBLE / sum(cov) OVER ()) AS rate FROM d),
+ p AS (SELECT locus, cov, alt, CASE WHEN alt <= 0 THEN 1.0 ELSE least(1.0::DOUBLE, list_sum(list_transform(range(alt, cov + 1), lambda i: exp(""" + LC.format(n="cov", k="i") + """ + i * ln(rate) + (cov - i) * ln(1 - rate))))) END AS p FROM r WHERE cov >= 5 AND alt >= 0.25 * cov)
+ SELECT locus, cov, alt, round(p, 6) AS p, round(least(1.0::DOUBLE, min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k FROM p)""")
 def _(snps):
-    return va.snp_candidates(va.base_counts(snps, ("locus",)), 5, 0.25)
+    return va.snp_candidates(va.base_counts(snps, ("locus",)), 5, 0.25).withColumn("p", F.round("p", 6)).withColumn("q", F.round("q", 6))
 
 
 @query("a31_cultivar_markers", "snps", oracle="""WITH c AS (SELECT locus, cultivar, base, count(*) AS cnt FROM snps GROUP BY ALL), t AS (SELECT *, sum(cnt) OVER (PARTITION BY locus, cultivar) AS tot, strpos('ACGTN', base) AS nth FROM c),
@@ -250,10 +256,18 @@ def _(loci, features):
     return overlap_join(loci, features).where("start >= b_start").groupBy(F.expr("(start - b_start) div 50").alias("offset_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a43_exact_tests", "features", oracle=None)
+FISHER = "exp(" + LC.format(n="(a + b)", k="{x}") + " + " + LC.format(n="(c + d)", k="(a + c - {x})") + " - (" + LC.format(n="(a + b + c + d)", k="(a + c)") + "))"
+
+
+@query("a43_exact_tests", "features", oracle="""WITH v AS (SELECT feat_id, feat_id % 17 + 1 AS a, feat_id % 23 + 1 AS b, feat_id % 29 + 1 AS c, feat_id % 31 + 1 AS d FROM features), m AS (SELECT *, (a + b + c + d) * 1.0::DOUBLE AS n FROM v)
+ SELECT feat_id, CASE WHEN least((a + b) * (a + c) / n, (a + b) * (b + d) / n, (c + d) * (a + c) / n, (c + d) * (b + d) / n) < 5 THEN -1000000 ELSE CAST(floor(n * pow(a * d - b * c, 2.0) / ((a + b) * 1.0::DOUBLE * (c + d) * (a + c) * (b + d)) * 1e6 + 0.25) AS BIGINT) END AS chi2,
+ CAST(floor(least(1.0::DOUBLE, list_sum(list_transform(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1), lambda x: CASE WHEN """ + FISHER.format(x="x") + " <= " + FISHER.format(x="a") + " * (1 + 1e-7) THEN " + FISHER.format(x="x") + """ ELSE 0 END))) * 1e6 + 0.25) AS BIGINT) AS fisher,
+ CAST(floor(least(1.0::DOUBLE, list_sum(list_transform(range(a, a + b + 1), lambda i: exp(""" + LC.format(n="(a + b)", k="i") + """ + i * ln(0.3) + (a + b - i) * ln(0.7))))) * 1e6 + 0.25) AS BIGINT) AS tail FROM m""")
 def _(features):
     a, b, c, d = (F.col("feat_id") % m + 1 for m in (17, 23, 29, 31))
-    return features.select("feat_id", st.chi_square_2x2(a, b, c, d).alias("chi2"), st.fisher_exact(a, b, c, d).alias("fisher"), st.binomial_tail(a, a + b, F.lit(0.3)).alias("tail"))
+    # millionths, rounded off the half so that exact ties agree
+    millionths = lambda x: F.floor(x * 1e6 + 0.25).cast("long")
+    return features.select("feat_id", millionths(st.chi_square_2x2(a, b, c, d)).alias("chi2"), millionths(st.fisher_exact(a, b, c, d)).alias("fisher"), millionths(st.binomial_tail(a, a + b, F.lit(0.3))).alias("tail"))
 
 
 KM = "unnest(list_transform(range(1, CAST(greatest(length({s}) - {k} + 2, 1) AS BIGINT)), lambda i: substring({s}, i, {k})))"

@@ -182,7 +182,7 @@ def _(reads):
     return constrained(al, rd.parse_constraints(lines)).select("el_id")
 
 
-@query("k5_wiggle_bedgraph", "sparse", oracle=None)
+@query("k5_wiggle_bedgraph", "sparse", oracle="""SELECT concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), CAST(nxt AS VARCHAR), CAST(d AS VARCHAR)) AS value FROM (SELECT chrom, pos, lead(pos) OVER w AS nxt, CAST(sum(d) OVER w AS BIGINT) AS d FROM (SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, start AS pos, 1 AS d FROM sparse UNION ALL SELECT chrom, "end" + 1, -1 FROM sparse) GROUP BY chrom, pos) WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE nxt IS NOT NULL AND d <> 0""")
 def _(loci):
     from strandframe.operators.intervals import depth
 

@@ -18,7 +18,8 @@ def query(name: str, *shapes: str, oracle: str | None = None):
     def add(f):
         Q[name] = lambda spark, sf_dir: f(*[shape(spark, sf_dir, s) for s in shapes])
         if oracle:
-            SQL[name] = sql(*shapes) + oracle
+            head = sql(*shapes)
+            SQL[name] = head.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + oracle[15:] if oracle.startswith("WITH RECURSIVE ") else head + oracle
         return f
 
     return add
@@ -126,7 +127,8 @@ def _(loci):
     return rd.filtered_with_reasons(df, {"short": size < 10, "strand": F.col("strand") != "+", "sample": F.col("sample") == "R", "overlap": F.col("_over")}).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f19_greedy_non_overlapping", "sparse")
+@query("f19_greedy_non_overlapping", "sparse", oracle="""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", el_id) AS rn FROM sparse), g AS (SELECT el_id, chrom, start, "end", rn, "end" AS reached, true AS kept FROM o WHERE rn = 1
+ UNION ALL SELECT o.el_id, o.chrom, o.start, o."end", o.rn, CASE WHEN o.start > g.reached THEN o."end" ELSE g.reached END, o.start > g.reached FROM g JOIN o ON o.chrom = g.chrom AND o.rn = g.rn + 1) SELECT el_id, chrom, start, "end" FROM g WHERE kept""")
 def _(loci):
     from strandframe.operators.intervals import greedy_non_overlapping
 
@@ -260,6 +262,6 @@ def _(loci, features):
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy("el_id").orderBy(F.desc("o"), "feat_id"))).where("_n <= 3").drop("_n")
 
 
-@query("o4_o6_random_sample", "features")
+@query("o4_o6_random_sample", "features", oracle="SELECT feat_id, chrom, start, \"end\" FROM features ORDER BY md5(concat('1|', CAST(feat_id AS VARCHAR))), feat_id LIMIT 100")
 def _(features):
     return rd.random_sample(features, 100, "feat_id").select("feat_id", "chrom", "start", "end")
