@@ -36,7 +36,7 @@ WINDOW = 64
 #: Characters from either end of a part within which tokens keep their positions, for joining.
 EDGE = 512
 #: Bytes of text encoded together, and different runs handed to the library at once.
-SLICE, RUNS = 16_000_000, 10_000
+SLICE, RUNS = 6_000_000, 5_000
 WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -189,6 +189,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "
         enc = encoder(path)
         for b in _slices(it, "_text"):
             yield pa.RecordBatch.from_arrays([*_columns(b, keep), *enc.encode(_columns(b, ["_text"])[0])], [*keep, "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
