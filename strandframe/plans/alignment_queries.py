@@ -206,10 +206,10 @@ def _(reads):
 
 @query("a42_bootstrap_hits", "reads")
 def _(reads):
-    from strandframe.operators.kmers import exact_hits
+    from strandframe.operators.kmers import probes_found
 
-    probes = reads.where("length(seq) >= 60 AND read_id % 5 = 0").select(F.col("read_id").alias("probe_id"), F.substring("seq", 21, 20).alias("probe"))
-    return dc.bootstrap_hits(exact_hits(probes, reads, 20), 200, 20)
+    probes = reads.where("length(seq) >= 60").select(F.col("read_id").alias("probe_id"), F.substring("seq", 21, 20).alias("probe"))
+    return dc.bootstrap_hits(probes_found(probes, reads, 20), probes.count(), 20)
 
 
 @query("t22_rad_stacks", "reads", oracle="SELECT substring(seq, 1, 5) AS site, count(*) AS reads, min(read_id) AS first, count(DISTINCT seq) AS kinds FROM reads WHERE length(seq) >= 5 GROUP BY 1 HAVING count(*) >= 3")
@@ -224,8 +224,10 @@ def _(reads):
 
 @query("t9_t10_assembly", "reads")
 def _(reads):
-    pieces = reads.where("length(seq) BETWEEN 200 AND 400 AND read_id < 200").select((F.col("read_id") * 10).alias("r"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("seq", 1 + 60 * i, 100).alias("seq")) for i in range(3)])).alias("p"))
-    return dc.assembled(pieces.select((F.col("r") + F.col("p.i")).alias("read_id"), F.col("p.seq").alias("seq")), [35, 25])
+    # pieces of 100 bases, 60 apart, to the end of every read
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("seq") - 100) / 60), F.lit(0)).cast("int"))
+    pieces = reads.where("length(seq) > 0").select("read_id", "seq", F.explode(starts).alias("i"))
+    return dc.assembled(pieces.select((F.col("read_id") * 1_000_000 + F.col("i")).alias("read_id"), F.expr("substring(seq, 1 + 60 * i, 100)").alias("seq")), [35, 25])
 
 
 @query("t21_homozygous_reduction", "reads", oracle="""WITH k AS (SELECT DISTINCT read_id, length(seq) AS l, unnest(list_transform(range(1, CAST(greatest(length(seq) - 12 + 2, 1) AS BIGINT)), lambda i: substring(seq, i, 12))) AS kmer FROM reads WHERE read_id < 300), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id), s AS (SELECT a.read_id, b.read_id AS o, count(*) AS s FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id <> b.read_id AND (b.l > a.l OR b.l = a.l AND b.read_id < a.read_id) GROUP BY 1, 2)

@@ -173,7 +173,7 @@ def _(loci, features):
 
 @query("a13_bootstrap_p", "loci", "features")
 def _(loci, features):
-    return st.bootstrap_p(_binned(loci, features.where("feat_id < 200")), "feat_id", "ctrl_cnt", "expr_cnt", 200)
+    return st.bootstrap_p(_binned(loci, features), "feat_id", "ctrl_cnt", "expr_cnt", 200)
 
 
 @query("a14_correlation_interval", "features", oracle="SELECT feat_id, (exp(2 * (m - w)) - 1) / (exp(2 * (m - w)) + 1) AS low, (exp(2 * (m + w)) - 1) / (exp(2 * (m + w)) + 1) AS high FROM (SELECT feat_id, ln((1 + r) / (1 - r)) / 2 AS m, 1.96 / sqrt(greatest(n, 4) - 3.0) AS w FROM (SELECT feat_id, (score - 500) / 600.0::DOUBLE AS r, feat_id % 40 AS n FROM features))")
