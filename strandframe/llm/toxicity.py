@@ -8,7 +8,7 @@ loses nothing), and the nearest k vote with the square of their cosine. Leave-on
 monotone, turn the vote into a probability; the neighbours are returned as evidence.
 
 The examples are a bounded sample of the labelled rows, MAX_EXAMPLES of each class, the smallest by hash of their id.
-All else covers all rows.
+Votes, prior and calibration weight each class by its share among all labels. All else covers all rows.
 
 Defined results: a null or empty text, or one without a term of the vocabulary, gets the smoothed share of toxic rows
 among such examples; rows with a null id or label teach nothing; without labels every score is 0.5 shrunk to the empty
@@ -100,11 +100,12 @@ class Vectors:
 class BlockMaxIndex:
     """Exact top-k cosine over a bounded set of sparse examples."""
 
-    def __init__(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]], idf: dict[int, float]):
+    def __init__(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]], idf: dict[int, float], weights: tuple[float, float] = (1.0, 1.0)):
         self.idf = idf
         kept = sorted((e for e in examples if e[2]), key=lambda e: (e[2], e[0]))
         self.ids = [e[0] for e in kept]
         self.labels = np.array([e[1] for e in kept], dtype=np.float64)
+        self.weights = np.where(self.labels > 0, weights[1], weights[0])
         self.blocks = -(-len(kept) // BLOCK)
         rows: dict[int, list[tuple[int, float]]] = {}
         for n, e in enumerate(kept):
@@ -150,16 +151,18 @@ class BlockMaxIndex:
         return [(-c, n) for c, n in best]
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        total = sum(c * c for c, _ in near)
-        return (prior + sum(c * c * self.labels[n] for c, n in near)) / (1 + total)
+        total = sum(c * c * self.weights[n] for c, n in near)
+        return (prior + sum(c * c * self.weights[n] * self.labels[n] for c, n in near)) / (1 + total)
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: dict[int, float], examples: list):
-        self.vocabulary, self.index = vocabulary, BlockMaxIndex(examples, idf)
+    """`weights` of clean and toxic examples: the share of the class among all labels over that in the sample."""
+
+    def __init__(self, vocabulary: dict[str, int], idf: dict[int, float], examples: list, weights: tuple[float, float] = (1.0, 1.0)):
+        self.vocabulary, self.index = vocabulary, BlockMaxIndex(examples, idf, weights)
         bare = [e[1] for e in examples if not e[2]]
-        self.bare = sum(bare) / (len(bare) + 1) if bare else 0.0
-        self.prior = sum(e[1] for e in examples) / max(1, len(examples))
+        self.bare = sum(y * weights[y] for y in bare) / (sum(weights[y] for y in bare) + 1) if bare else 0.0
+        self.prior = sum(e[1] * weights[e[1]] for e in examples) / (sum(weights[e[1]] for e in examples) or 1)
         self.at, self.share = self._calibrate({e[0]: e[2] for e in examples if e[2]})
         self.scored: dict = {}
 
@@ -167,10 +170,10 @@ class Model:
         """Monotone steps from leave-one-out votes to shares of toxic examples (pool adjacent violators)."""
         if not vectors:
             return [0.0], [0.0]
-        pairs = sorted((self.index.vote(self.index.nearest(vectors[i], NEIGHBOURS, n), self.prior), y) for n, (i, y) in enumerate(zip(self.index.ids, self.index.labels)))
+        pairs = sorted((self.index.vote(self.index.nearest(vectors[i], NEIGHBOURS, n), self.prior), y, w) for n, (i, y, w) in enumerate(zip(self.index.ids, self.index.labels, self.index.weights)))
         pools: list[list[float]] = []
-        for v, y in pairs:
-            pools.append([v, y, 1.0])
+        for v, y, w in pairs:
+            pools.append([v, y * w, w])
             while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
                 _, y1, n1 = pools.pop()
                 pools[-1][1] += y1
@@ -215,6 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     known = docs.join(F.broadcast(sample), "doc_id")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
+    labelled = {r["toxic"]: r["n"] for r in marked.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = sum(totals.values()) / max(1, sum(labelled.values()))
+    weights = tuple(scale * labelled.get(y, 0) / max(1, totals.get(y, 0)) for y in (0, 1))
     counted = known.select("text", "toxic").mapInArrow(_frame_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = (F.col("pos") + F.col("neg")) / (p + n)
     z = (F.col("pos") / p - F.col("neg") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n) + 1e-12)
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = {t: math.log((1 + total) / (1 + c)) + 1 for t, c in seen.items()}
     examples = [(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["tf"]))) for r in vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()]
-    return Model(vocabulary, idf, sorted(examples)), vectors
+    return Model(vocabulary, idf, sorted(examples), weights), vectors
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
