@@ -1,261 +1,324 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are a word's first four and first five characters, lower-cased. The vocabulary holds the terms that set toxic
-examples apart: a high log ratio and z value, and several different words before the term, so that the chance words of
-one much copied text are not taken for signs. Inverse document frequencies come from all documents. Every document is
-compared exactly with the labelled examples (blocks whose upper bound is under the k-th best cosine are skipped, which
-loses nothing), and the nearest k vote with the square of their cosine. Leave-one-out votes of the examples, made
-monotone, turn the vote into a probability; the neighbours are returned as evidence.
-
-The examples are a bounded sample of the labelled rows, MAX_EXAMPLES of each class, the smallest by hash of their id.
-Votes, prior and calibration weight each class by its share among all labels. All else covers all rows.
-
-Defined results: a null or empty text, or one without a term of the vocabulary, gets the smoothed share of toxic rows
-among such examples; rows with a null id or label teach nothing; without labels every score is 0.5 shrunk to the empty
-prior, 0.0; repeated rows score alike; extra columns pass through.
+"""Toxicity by nearest labelled examples: exact cosine over a block-max inverted index.
+
+Terms are whole lower-cased words (ASCII punctuation parts words); every word of the examples is in the index. A
+term's weight is (1 + ln tf) * idf * (1 + sqrt(G)): idf comes from all documents, and G is the log-likelihood ratio
+of how its word divides between the toxic and the clean examples, the usual supervised factor of TF-IDF. (Without that
+factor rare invented words, not the abusive ones, decide who is near; see the README for figures.)
+
+A document is compared exactly with every example: rare terms are added up through their postings, and of the frequent
+ones only the blocks whose upper bound reaches the k-th best cosine are computed, which loses nothing. The nearest k
+vote with the square of their cosine. Leave-one-out votes of the examples, made monotone and joined by straight lines,
+turn a vote into a probability; the neighbours are returned as evidence.
+
+The examples are a bounded sample of the labelled rows, at most MAX_EXAMPLES of each class, the least by hash of their
+id; of near copies among them (half of the five-word shingles seen before) the first stands for all. Votes, prior and
+calibration weight each class by its share among all labels. All else covers all rows and whole texts.
+
+Defined results: a text without any word of the examples (null and empty ones too) has no neighbour and gets the share
+of toxic rows among all labels; rows with a null id or label teach nothing; an id with several labels is toxic if one
+says so; of several texts under one id all are examples; without labels every score is 0.0; repeated rows score alike;
+extra columns pass through.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_crc, small_batches
 
-MAX_EXAMPLES = 3000
-MAX_TERMS = 2000
+MAX_EXAMPLES = 1500
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms in over this share of the examples are held densely and computed block by block.
+FREQUENT = 0.04
+#: Documents that are compared together.
+BATCH = 128
+#: Weight of the prior in a vote, in squared cosines.
+PRIOR_WEIGHT = 0.02
 THRESHOLD = 0.5
-#: Words that a worker remembers with their terms; beyond that it starts anew.
-REMEMBERED = 100_000
-STRIPPED = ".,;:!?*#$%&|\"'()[]"
-
-
-def word_terms(word: str) -> tuple[str, ...]:
-    w = word.strip(STRIPPED)
-    return (w[:4] + "~", w[:5]) if len(w) >= 4 else ((w,) if w else ())
-
-
-def _tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def _texts(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.names.index(name)).to_pylist()
-
-
-def _frame_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pos: Counter = Counter()
-    neg: Counter = Counter()
-    for b in it:
-        for text, toxic in zip(_texts(b, "text"), _texts(b, "toxic")):
-            (pos if toxic else neg).update({t for w in set(_tokens(text)) for t in word_terms(w)})
-    terms = list({*pos, *neg})
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], ["term", "pos", "neg"])
-
-
-def _contexts(candidates: frozenset) -> callable:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in it:
-            for text, toxic in zip(_texts(b, "text"), _texts(b, "toxic")):
-                if toxic:
-                    before = ""
-                    for w in _tokens(text):
-                        seen.update((t, before) for t in word_terms(w) if t in candidates)
-                        before = w
-        rows = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["term", "before"])
-
-    return run
-
-
-class Vectors:
-    """Texts to sparse counts over a vocabulary; each different word is looked up once."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def __call__(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, found = self.known, []
-        for w in _tokens(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = tuple(i for t in word_terms(w) if (i := self.vocabulary.get(t)) is not None)
-            if ids:
-                found += ids
-        return tuple(sorted(Counter(found).items())) if found else ()
+#: Bytes of text that are turned into terms together.
+SLICE = 4_000_000
+#: Every ASCII character that is neither letter nor digit parts words.
+_APART = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's words begin (and end), the number of each word, and the different words."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    if not len(low):
+        return np.zeros(1, np.int64), np.empty(0, np.int64), pa.array([], pa.string())
+    _, offsets, raw = low.buffers()
+    parted = _APART[np.frombuffer(raw, np.uint8)] if raw is not None and raw.size else np.empty(0, np.uint8)
+    runs = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(low), offsets, pa.py_buffer(parted.tobytes()), offset=low.offset))
+    flat = runs.flatten().dictionary_encode()
+    return runs.offsets.to_numpy().astype(np.int64), flat.indices.to_numpy().astype(np.int64), flat.dictionary
+
+
+class Bags:
+    """Terms of several texts: for the i-th entry its text, its term and how often it occurs; sorted by text and term."""
+
+    def __init__(self, texts: pa.Array, vocabulary: pa.Array):
+        ends, which, known = tokens(texts)
+        term = pc.fill_null(pc.index_in(known, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[which]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        code = np.sort((text * (len(vocabulary) + 1) + term)[term >= 0])
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+        self.n = len(ends) - 1
+        self.text, self.term = np.divmod(code[first], len(vocabulary) + 1)
+        self.tf = np.diff(np.r_[first, len(code)]).astype(np.float64)
+
+    def each(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of every text."""
+        at = np.searchsorted(self.text, np.arange(self.n + 1))
+        return [(self.term[i:j], self.tf[i:j]) for i, j in zip(at, at[1:])]
+
+    def parts(self) -> Iterator["Bags"]:
+        """BATCH texts at a time."""
+        for begin in range(0, self.n, BATCH):
+            i, j = np.searchsorted(self.text, (begin, begin + BATCH))
+            part = Bags.__new__(Bags)
+            part.n, part.text, part.term, part.tf = min(BATCH, self.n - begin), self.text[i:j] - begin, self.term[i:j], self.tf[i:j]
+            yield part
+
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]]) -> "Bags":
+        self = cls.__new__(cls)
+        self.n = len(vectors)
+        self.text = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        self.term, self.tf = (np.concatenate([v[k] for v in vectors] or [np.empty(0)]) for k in (0, 1))
+        self.term = self.term.astype(np.int64)
+        return self
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, about SLICE bytes at a time."""
+    at = size = 0
+    for n, b in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if n > at and size + b > SLICE:
+            yield texts.slice(at, n - at)
+            at, size = n, 0
+        size += b
+    if at < len(texts):
+        yield texts.slice(at)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.names.index(name))
+
+
+def first_of_copies(texts: list[list[int]], size: int = 5) -> list[int]:
+    """Positions of the texts (as lists of words) without those of whose shingles at least half stood in texts before."""
+    seen: set[tuple] = set()
+    out = []
+    for n, w in enumerate(texts):
+        own = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+        if 2 * len(own & seen) < len(own):
+            out.append(n)
+            seen |= own
+    return out
+
+
+def separation(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Square root of the log-likelihood ratio of each term's 2 x 2 table of examples."""
+
+    def part(x, row, col):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) * (n_toxic + n_clean) / np.maximum(row * col, 1e-300)), 0.0)
+
+    both, n = toxic + clean, n_toxic + n_clean
+    g = part(toxic, both, n_toxic) + part(clean, both, n_clean) + part(n_toxic - toxic, n - both, n_toxic) + part(n_clean - clean, n - both, n_clean)
+    return np.sqrt(np.maximum(2 * g, 0.0))
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over a bounded set of sparse examples."""
-
-    def __init__(self, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]], idf: dict[int, float], weights: tuple[float, float] = (1.0, 1.0)):
-        self.idf = idf
-        kept = sorted((e for e in examples if e[2]), key=lambda e: (e[2], e[0]))
-        self.ids = [e[0] for e in kept]
-        self.labels = np.array([e[1] for e in kept], dtype=np.float64)
-        self.weights = np.where(self.labels > 0, weights[1], weights[0])
-        self.blocks = -(-len(kept) // BLOCK)
-        rows: dict[int, list[tuple[int, float]]] = {}
-        for n, e in enumerate(kept):
-            for t, w in self.unit(e[2]):
-                rows.setdefault(t, []).append((n, w))
-        self.postings, self.maxima = {}, {}
-        for t, found in rows.items():
-            at, w = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-            block = at // BLOCK
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            self.maxima[t] = (block[first], np.maximum.reduceat(w, first))
-            ends = np.r_[first[1:], len(at)]
-            self.postings[t] = {int(b): (at[i:j] - b * BLOCK, w[i:j]) for b, i, j in zip(block[first], first, ends)}
-
-    def unit(self, vector) -> list[tuple[int, float]]:
-        weights = [(t, (1 + math.log(n)) * self.idf.get(t, 1.0)) for t, n in vector]
-        norm = math.sqrt(sum(w * w for _, w in weights))
-        return [(t, w / norm) for t, w in weights]
-
-    def nearest(self, vector, k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, position) of the k nearest with a cosine over 0, best first, ties by position."""
-        if not vector or not self.ids:
-            return []
-        query = [(t, w) for t, w in self.unit(vector) if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for t, w in query:
-            b, m = self.maxima[t]
-            bound[b] += w * m
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            b = int(b)
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9:
-                break
-            got = np.zeros(BLOCK)
-            for t, w in query:
-                if p := self.postings[t].get(b):
-                    got[p[0]] += w * p[1]
-            for i in np.flatnonzero(got):
-                n = b * BLOCK + int(i)
-                if n != without:
-                    bisect.insort(best, (-round(float(got[i]), 9), n))
-            del best[k:]
-        return [(-c, n) for c, n in best]
-
-    def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        total = sum(c * c * self.weights[n] for c, n in near)
-        return (prior + sum(c * c * self.weights[n] * self.labels[n] for c, n in near)) / (1 + total)
+    """Exact top-k cosine over a bounded set of sparse examples: (id, label, terms, counts), and a weight for each term."""
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: np.ndarray):
+        self.weight = weight
+        held = [e for e in examples if len(e[2])]
+        df = np.bincount(np.concatenate([e[2] for e in held] or [np.empty(0, np.int64)]), minlength=len(weight))
+        often = df > max(BLOCK, FREQUENT * len(held))
+        # neighbours in this order share their commonest terms, so that a block's bounds are tight
+        held.sort(key=lambda e: (tuple(e[2][np.argsort(-df[e[2]], kind="stable")[:4]].tolist()), e[0]))
+        self.ids = np.array([e[0] for e in held], np.int64)
+        self.labels = np.array([e[1] for e in held], np.float64)
+        self.vectors = [e[2:] for e in held]
+        self.blocks = max(1, -(-len(held) // BLOCK))
+        self.row = np.full(len(weight), -1, np.int64)
+        self.row[often] = np.arange(often.sum())
+        self.dense = np.zeros((self.blocks, int(often.sum()), BLOCK), np.float32)
+        terms, places, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for at, (t, n) in enumerate(self.vectors):
+            w, f = self.unit(Bags.of([(t, n)])), often[t]
+            self.dense[at // BLOCK, self.row[t[f]], at % BLOCK] = w[f]
+            terms.append(t[~f])
+            places.append(np.full((~f).sum(), at))
+            values.append(w[~f])
+        terms = np.concatenate(terms)
+        order = np.argsort(terms, kind="stable")
+        self.place, self.value = np.concatenate(places)[order].astype(np.int32), np.concatenate(values)[order].astype(np.float32)
+        self.start = np.searchsorted(terms[order], np.arange(len(weight) + 1)).astype(np.int64)
+        self.maxima = self.dense.max(axis=2).T.copy()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": None}  # needed for calibration only
+
+    def unit(self, bags: Bags) -> np.ndarray:
+        """The entries' weights, each text's of length 1."""
+        w = (1 + np.log(bags.tf)) * self.weight[bags.term]
+        norm = np.sqrt(np.bincount(bags.text, w * w, bags.n))
+        return w / np.where(norm > 0, norm, 1)[bags.text]
+
+    def nearest(self, bags: Bags, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the positions and cosines of the k nearest with a cosine over 0, best first, ties by position."""
+        width, m = self.blocks * BLOCK, bags.n
+        k = min(k, width)
+        w, row = self.unit(bags), self.row[bags.term]
+        often = np.zeros((m, self.dense.shape[1]), np.float32)
+        f = row >= 0
+        often[bags.text[f], row[f]] = w[f]
+        begin = self.start[bags.term[~f]]
+        size = self.start[bags.term[~f] + 1] - begin
+        # the postings of all rare terms as one gather and one sum by text and place
+        at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]][: len(size)], size) + np.arange(size.sum())
+        where = np.repeat(bags.text[~f] * width, size) + self.place[at]
+        score = np.bincount(where, np.repeat(w[~f], size) * self.value[at], m * width).astype(np.float32).reshape(m, width)
+        if without is not None:
+            score[np.arange(m), without] = -4
+        # a cosine is its rare part and at most the bound of its block, and not under its rare part
+        bound = often @ self.maxima + score.reshape(m, self.blocks, BLOCK).max(axis=2)
+        least = np.partition(score, width - k, axis=1)[:, width - k]
+        for b in range(self.blocks):
+            open_ = np.flatnonzero(bound[:, b] >= least - 1e-6)
+            if len(open_):
+                score[open_, b * BLOCK : (b + 1) * BLOCK] += often[open_] @ self.dense[b]
+        # in closed blocks scores lack their frequent part, but none of them can be among the k best
+        kth = np.partition(score, width - k, axis=1)[:, width - k]
+        out = []
+        for n in range(m):
+            tied = np.flatnonzero(score[n] >= max(kth[n], 1e-7))
+            tied = tied[np.lexsort((tied, -score[n, tied]))][:k]
+            out.append((tied, score[n, tied].astype(np.float64)))
+        return out
 
 
 class Model:
-    """`weights` of clean and toxic examples: the share of the class among all labels over that in the sample."""
-
-    def __init__(self, vocabulary: dict[str, int], idf: dict[int, float], examples: list, weights: tuple[float, float] = (1.0, 1.0)):
-        self.vocabulary, self.index = vocabulary, BlockMaxIndex(examples, idf, weights)
-        bare = [e[1] for e in examples if not e[2]]
-        self.bare = sum(y * weights[y] for y in bare) / (sum(weights[y] for y in bare) + 1) if bare else 0.0
-        self.prior = sum(e[1] * weights[e[1]] for e in examples) / (sum(weights[e[1]] for e in examples) or 1)
-        self.at, self.share = self._calibrate({e[0]: e[2] for e in examples if e[2]})
-        self.scored: dict = {}
-
-    def _calibrate(self, vectors: dict) -> tuple[list[float], list[float]]:
-        """Monotone steps from leave-one-out votes to shares of toxic examples (pool adjacent violators)."""
-        if not vectors:
-            return [0.0], [0.0]
-        pairs = sorted((self.index.vote(self.index.nearest(vectors[i], NEIGHBOURS, n), self.prior), y, w) for n, (i, y, w) in enumerate(zip(self.index.ids, self.index.labels, self.index.weights)))
+    """`examples` are (id, label, terms, counts); `share` is that of toxic rows among all labels."""
+
+    def __init__(self, vocabulary: pa.Array, weight: np.ndarray, examples: list, share: float):
+        self.vocabulary, self.index, self.prior = vocabulary, BlockMaxIndex(examples, weight), share
+        toxic, n = float(self.index.labels.sum()), len(self.index.labels)
+        self.by_label = (1 - share) * n / max(1.0, n - toxic), share * n / max(1.0, toxic)
+        self.at, self.level = self._calibrate()
+
+    def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
+        y = self.index.labels[near]
+        w = cosines * cosines * np.where(y > 0, self.by_label[1], self.by_label[0])
+        return float((PRIOR_WEIGHT * self.prior + (w * y).sum()) / (PRIOR_WEIGHT + w.sum()))
+
+    def _calibrate(self) -> tuple[list[float], list[float]]:
+        """Leave-one-out votes and shares of toxic examples: adjacent violators are pooled; lines join the pools."""
+        x = self.index
+        votes = []
+        for at in range(0, len(x.labels), BATCH):
+            places = list(range(at, min(at + BATCH, len(x.labels))))
+            found = x.nearest(Bags.of([x.vectors[n] for n in places]), NEIGHBOURS, places)
+            votes += [(self.vote(*f), float(x.labels[n])) for n, f in zip(places, found)]
         pools: list[list[float]] = []
-        for v, y, w in pairs:
-            pools.append([v, y * w, w])
-            while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
-                _, y1, n1 = pools.pop()
-                pools[-1][1] += y1
-                pools[-1][2] += n1
-        return [p[0] for p in pools], [(p[1] + self.prior) / (p[2] + 1) for p in pools]
-
-    def score(self, vector) -> tuple[float, list[int], list[float]]:
-        """Probability of toxicity, ids of the nearest examples, their cosines."""
-        if not vector:
-            return self.bare, [], []
-        if vector not in self.scored:
-            if len(self.scored) > 100_000:
-                self.scored.clear()
-            near = self.index.nearest(vector, NEIGHBOURS)
-            at = max(0, bisect.bisect_right(self.at, self.index.vote(near, self.prior)) - 1)
-            self.scored[vector] = (float(self.share[at]) if near else self.bare, [self.index.ids[n] for _, n in near], [c for c, _ in near])
-        return self.scored[vector]
+        for v, y in sorted(votes):
+            w = self.by_label[int(y)]
+            pools.append([v * w, y * w, w])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+        level = np.maximum.accumulate([(p[1] + self.prior) / (p[2] + 1) for p in pools]) if pools else np.empty(0)
+        # a vote of nothing but clean or toxic rows ends the lines
+        return [0.0, *[p[0] / p[2] for p in pools], 1.0], [0.0, *level.tolist(), 1.0]
+
+    def score(self, texts: pa.Array) -> list[tuple[float, list[int], list[float]]]:
+        """For each text its probability of toxicity, the ids of its nearest examples and their cosines."""
+        out = []
+        for part in slices(texts):
+            for bags in Bags(part, self.vocabulary).parts():
+                for near, cosines in self.index.nearest(bags, NEIGHBOURS):
+                    p = float(np.interp(self.vote(near, cosines), self.at, self.level)) if len(near) else self.prior
+                    out.append((p, self.index.ids[near].tolist(), cosines.tolist()))
+        return out
 
 
 def learns(doc_id: Column) -> Column:
     return id_crc(doc_id) % 5 != 0
 
 
-def _vectors(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many there are; one row a term reaches the driver."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = Vectors(vocabulary)
+        seen, rows = np.zeros(len(vocabulary) + 1, np.int64), 0
         for b in it:
-            found = [vector(t) for t in _texts(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[i for i, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int32()))], ["doc_id", "terms", "tf"])
+            for part in slices(b.column(0)):
+                np.add.at(seen, Bags(part, vocabulary).term, 1)
+            rows += b.num_rows
+        seen[-1] = rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["term", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, tf array<int>")
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the sparse vector of every document (doc_id, terms, tf)."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learns(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learns(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda y: marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES)
     sample = cut(pick(1).unionByName(pick(0)))
-    # the sample has 2 * MAX_EXAMPLES rows at most
-    known = docs.join(F.broadcast(sample), "doc_id")
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p, n = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
-    labelled = {r["toxic"]: r["n"] for r in marked.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    scale = sum(totals.values()) / max(1, sum(labelled.values()))
-    weights = tuple(scale * labelled.get(y, 0) / max(1, totals.get(y, 0)) for y in (0, 1))
-    counted = known.select("text", "toxic").mapInArrow(_frame_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    share = (F.col("pos") + F.col("neg")) / (p + n)
-    z = (F.col("pos") / p - F.col("neg") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n) + 1e-12)
-    ratio = F.log(((F.col("pos") + 0.5) / (p + 1)) / ((F.col("neg") + 0.5) / (n + 1)))
-    likely = [r["term"] for r in counted.withColumn("z", z).where((F.col("pos") >= 3) & (z >= 4) & (ratio >= 2.5)).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()]
-    spread = known.select("text", "toxic").mapInArrow(_contexts(frozenset(likely)), "term string, before string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("contexts"))
-    support = counted.join(F.broadcast(spread), "term").where(F.col("contexts") >= F.greatest(F.lit(3), 0.5 * F.col("pos"))).select("term").collect() if likely else []
-    vocabulary = {t: i for i, t in enumerate(sorted(r["term"] for r in support))}
-    vectors = cut(_vectors(docs, vocabulary))
-    total = vectors.count()
-    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = {t: math.log((1 + total) / (1 + c)) + 1 for t, c in seen.items()}
-    examples = [(r["doc_id"], r["toxic"], tuple(zip(r["terms"], r["tf"]))) for r in vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()]
-    return Model(vocabulary, idf, sorted(examples), weights), vectors
+    labelled = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = labelled.get(1, 0) / max(1, sum(labelled.values()))
+    # the sample has 2 * MAX_EXAMPLES rows at most; of several texts under one id the least is the example
+    known = sorted(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
+    ends, which, words = tokens(pa.array([r["text"] for r in known], pa.string()))
+    first = first_of_copies([which[i:j].tolist() for i, j in zip(ends, ends[1:])])
+    held = pa.array([known[n]["text"] for n in first], pa.string())
+    used = np.unique(np.concatenate([which[ends[n] : ends[n + 1]] for n in first] or [np.empty(0, np.int64)]))
+    found = words.take(pa.array(used, pa.int64()))
+    vocabulary = found.filter(pc.not_equal(found, ""))
+    df, rows = document_frequencies(docs, vocabulary)
+    examples = [(known[n]["doc_id"], known[n]["toxic"], *v) for n, v in zip(first, Bags(held, vocabulary).each())]
+    by = np.zeros((2, len(vocabulary)))
+    for _, y, terms, _ in examples:
+        by[y, terms] += 1
+    toxic = sum(e[1] for e in examples)
+    weight = (np.log((1 + rows) / (1 + df)) + 1) * (1 + separation(by[1], by[0], toxic, len(examples) - toxic))
+    return Model(vocabulary, weight, examples, share)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and evidence (ids and cosines of the nearest examples) of every document."""
-    model, vectors = fit(docs, labels)
+    model = fit(docs, labels)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [model.score(tuple(zip(t, n))) for t, n in zip(_texts(b, "terms"), _texts(b, "tf"))]
+            got = model.score(_column(b, "text"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], ["doc_id", "score", "neighbours", "cosines"])
 
-    return vectors.mapInArrow(run, "doc_id long, score double, neighbours array<long>, cosines array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, neighbours array<long>, cosines array<double>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` whose score is under THRESHOLD, with all their columns."""
-    model, _ = fit(docs, labels)
+    model = fit(docs, labels)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = Vectors(model.vocabulary)
         for b in it:
-            yield b.filter(pa.array([model.score(vector(t))[0] < THRESHOLD for t in _texts(b, "text")], pa.bool_()))
+            yield b.filter(pa.array([p < THRESHOLD for p, _, _ in model.score(_column(b, "text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

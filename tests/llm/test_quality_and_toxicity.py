@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandframe.llm import quality_qda, quality_rules, toxicity
@@ -97,20 +98,86 @@ def test_toxicity_on_held_out_rows(prose):
 
 
 def test_block_index_equals_brute_force():
-    import random
-
-    r = random.Random(8)
-    make = lambda: tuple(sorted((t, r.randint(1, 3)) for t in r.sample(range(30), r.randint(1, 5))))
-    examples = [(i, i % 2, make()) for i in range(500)]
-    idf = {t: 1 + r.random() for t in range(30)}
-    index = toxicity.BlockMaxIndex(examples, idf)
-    units = [dict(index.unit(e[2])) for e in sorted(examples, key=lambda e: (e[2], e[0]))]
-    for _ in range(40):
-        q = make()
-        u = dict(index.unit(q))
-        all_ = sorted(((-round(sum(w * v.get(t, 0) for t, w in u.items()), 9), n) for n, v in enumerate(units)))[:15]
-        got = index.nearest(q, 15)
-        assert [n for _, n in got] == [n for c, n in all_ if c < 0]
+    r = np.random.default_rng(8)
+
+    def make():
+        # a few terms are common, so that both the dense blocks and the postings are used
+        t = np.unique(np.r_[r.integers(0, 12, 5), r.integers(12, 4000, r.integers(1, 9))])
+        return t.astype(np.int64), r.integers(1, 4, len(t)).astype(float)
+
+    examples = [(i, i % 2, *make()) for i in range(700)]
+    weight = 1 + r.random(4000)
+    index = toxicity.BlockMaxIndex(examples, weight)
+    assert 0 < index.dense.shape[1] < 40
+
+    def unit(t, n):
+        w = dict(zip(t.tolist(), ((1 + np.log(n)) * weight[t]).tolist()))
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {k: x / norm for k, x in w.items()}
+
+    units = {e[0]: unit(e[2], e[3]) for e in examples}
+    queries = [make() for _ in range(60)]
+    for q, (near, cosines) in zip(queries, index.nearest(toxicity.Bags.of(queries), 15)):
+        u = unit(*q)
+        cos = {i: sum(w * v.get(t, 0) for t, w in u.items()) for i, v in units.items()}
+        best = sorted(cos.values(), reverse=True)[:15]
+        assert np.allclose(cosines, best, atol=1e-5) and all(abs(cos[int(index.ids[n])] - c) < 1e-5 for n, c in zip(near, cosines))
+
+
+def test_toxicity_equals_brute_force(prose):
+    """Words, weights, neighbours, votes and calibration again, by dictionaries and loops."""
+    docs, labels = prose[0].where("doc_id < 150"), prose[1].where("doc_id < 140")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    bag = {i: Counter(re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", t.lower())) for i, t in text.items()}
+    seen, first = set(), []
+    for i in sorted(toxic):
+        w = re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", text[i].lower())
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        if 2 * len(own & seen) < len(own):
+            first.append(i)
+            seen |= own
+    vocabulary = {w for i in first for w in bag[i]}
+    n = [sum(toxic[i] == y for i in first) for y in (0, 1)]
+
+    def weight(w):
+        df = sum(w in b for b in bag.values())
+        table = [[0, 0], [0, 0]]
+        for i in first:
+            table[toxic[i]][w in bag[i]] += 1
+        g = sum(2 * x * math.log(x * sum(n) / (n[y] * (table[0][has] + table[1][has]))) for y in (0, 1) for has, x in enumerate(table[y]) if x)
+        return (math.log((1 + len(text)) / (1 + df)) + 1) * (1 + math.sqrt(max(0.0, g)))
+
+    weights = {w: weight(w) for w in vocabulary}
+
+    def unit(b):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in b.items() if w in vocabulary}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(b) for i, b in bag.items()}
+    share = sum(toxic.values()) / len(toxic)
+    by = [(1 - share) * sum(n) / n[0], share * sum(n) / n[1]]
+
+    def near(i, others):
+        cos = sorted(((sum(x * units[o].get(w, 0) for w, x in units[i].items()), o) for o in others), reverse=True)[: toxicity.NEIGHBOURS]
+        top = sum(c * c * by[toxic[o]] * toxic[o] for c, o in cos)
+        return (toxicity.PRIOR_WEIGHT * share + top) / (toxicity.PRIOR_WEIGHT + sum(c * c * by[toxic[o]] for c, o in cos)), [c for c, _ in cos if c > 1e-7]
+
+    pools = []
+    for v, y in sorted((near(i, [o for o in first if o != i])[0], toxic[i]) for i in first):
+        pools.append([v * by[y], y * by[y], by[y]])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    level = np.maximum.accumulate([(p[1] + share) / (p[2] + 1) for p in pools])
+    scores = set()
+    for r in toxicity.report(docs, labels).collect():
+        v, cosines = near(r.doc_id, first)
+        assert np.allclose(r.cosines, cosines, atol=1e-5), r.doc_id
+        assert abs(r.score - np.interp(v, [0, *(p[0] / p[2] for p in pools), 1], [0, *level, 1])) < 1e-3
+        scores.add(round(r.score, 6))
+    assert len(scores) > 50
 
 
 def test_toxicity_on_odd_tables(odd, none, prose):

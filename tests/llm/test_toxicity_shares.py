@@ -20,6 +20,6 @@ def test_capped_classes_keep_their_shares(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
     marked = spark.createDataFrame(labels, "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "MAX_EXAMPLES", 200)
-    model, _ = toxicity.fit(docs, marked)
+    model = toxicity.fit(docs, marked)
     learning = [y for (i, y), keep in zip(labels, [x.k for x in docs.orderBy("doc_id").select(toxicity.learns(docs.doc_id).alias("k")).collect()]) if keep]
     assert abs(model.prior - sum(learning) / len(learning)) < 1e-9
