@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocked import blocked, running
 from .intervals import overlap_join
 
 #: Region bits.
@@ -33,8 +34,15 @@ def gene_regions(exons: DataFrame) -> DataFrame:
 
 def intergenic(features: DataFrame) -> DataFrame:
     """Gaps between the features of a chromosome."""
-    before = F.max("end").over(Window.partitionBy("chrom").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    return features.withColumn("_m", before).where(F.col("_m") + 1 <= F.col("start") - 1).select("chrom", (F.col("_m") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    reached = running(blocked(features, "start"), ("chrom",), ["start", "end"], maxima={"_m": F.col("end")}, current=False)
+    return reached.where(F.col("_m") + 1 <= F.col("start") - 1).select("chrom", (F.col("_m") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+
+
+def gaps_between(features: DataFrame) -> DataFrame:
+    """feat_id, gap_before and gap_after: to the feature before and the one after in order of start, end and feat_id."""
+    row = F.struct("start", "end", "feat_id")
+    reached = running(blocked(features, "start"), ("chrom",), ["start", "end", "feat_id"], maxima={"_m": row}, current=False, following=("start", "_next"))
+    return reached.select("feat_id", (F.col("start") - F.col("_m.end")).alias("gap_before"), (F.col("_next") - F.col("end")).alias("gap_after"))
 
 
 def split_elements(df: DataFrame) -> DataFrame:

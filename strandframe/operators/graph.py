@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder; one is set only where the session names none."""
+    """Written to the shared checkpoint folder, so that lineage ends here.
+
+    A session on this machine alone (master local) that names no folder gets one; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandframe-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandframe-"))
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ sorted interval ends in two levels (see `blocked`): both spread over executors b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocked import blocked, running
@@ -23,15 +23,15 @@ def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", within: int = 0, same_strand: bool = False, width: int = BIN) -> DataFrame:
     """Pairs of rows of `a` and `b` (columns of b get the prefix `b_`) that overlap, or come within `within` bases.
 
-    `how` is inner, left_semi (rows of a with any partner) or left_anti (rows of a with none).
+    `how` is inner, left_semi (rows of a with any partner) or left_anti (rows of a with none). Those two depend on a
+    row's place alone, so the different places are joined and the rows then meet their place by value.
     """
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     if how in ("left_semi", "left_anti"):
-        keyed = a.withColumn("_id", F.monotonically_increasing_id())
-        found = _binned(keyed.select("_id", "chrom", "start", "end", *(["strand"] if same_strand else [])), F.col("start") - within, F.col("end") + within, width)
-        right = _binned(b, F.col("b_start"), F.col("b_end"), width).drop("_b0").withColumnRenamed("_bin", "_bin2")
-        hit = found.join(right, _match(within, same_strand), "left_semi").select("_id").distinct()
-        return keyed.join(hit, "_id", how).drop("_id")
+        place = ["chrom", "start", "end", *(["strand"] if same_strand else [])]
+        left = _binned(a.select(*place).distinct(), F.col("start") - within, F.col("end") + within, width)
+        right = _binned(b.select(*[f"b_{c}" for c in place]).distinct(), F.col("b_start"), F.col("b_end"), width).drop("_b0").withColumnRenamed("_bin", "_bin2")
+        return a.join(left.join(right, _match(within, same_strand), "left_semi").select(*place).distinct(), place, how).select(*a.columns)
     left = _binned(a, F.col("start") - within, F.col("end") + within, width)
     right = _binned(b, F.col("b_start"), F.col("b_end"), width).withColumnRenamed("_bin", "_bin2").withColumnRenamed("_b0", "_b1")
     return left.join(right, _match(within, same_strand) & (F.col("_bin") == F.greatest("_b0", "_b1"))).drop("_bin", "_b0", "_bin2", "_b1")
@@ -59,25 +59,27 @@ def nearest(queries: DataFrame, features: DataFrame, strict: bool = False) -> Da
     """Rows of `queries` with next_* and prev_*: nearest feature starting after the query, and ending before it.
 
     Next is the least start beyond the query's end; previous the greatest end before its start (with `strict`: the
-    latest start at or before the query's start). Ties go to the least feat_id. Found by one sort of both tables.
+    latest start at or before the query's start). Ties go to the least feat_id. Found by one sort of both tables for
+    each side; what is found depends on a query's place alone, and rows meet their place by value.
     """
-    q = queries.withColumn("_q", F.monotonically_increasing_id())
+    feature = {k: F.col(k).cast("long").alias(k) for k in ("start", "end", "feat_id")}
 
-    def sweep(at_feature: Column, at_query: Column, feature_first: bool) -> DataFrame:
-        """For each query the feature with the greatest (position, -feat_id) at or under the query's position."""
-        hit = F.struct(at_feature.cast("long").alias("at"), (-F.col("feat_id")).cast("long").alias("tie"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("feat_id").cast("long").alias("feat_id"))
+    def sweep(at_feature: Column, query: str, at_query: Column, feature_first: bool, out: str) -> DataFrame:
+        """For each different (chrom, query) the feature with the greatest (position, -feat_id) at or under its position."""
+        hit = F.struct(at_feature.cast("long").alias("at"), (-F.col("feat_id")).cast("long").alias("tie"), *feature.values())
         f = features.select("chrom", at_feature.cast("long").alias("_at"), F.lit(0 if feature_first else 1).alias("_o"), F.lit(None).cast("long").alias("_q"), hit.alias("_f"))
-        w = q.select("chrom", at_query.cast("long").alias("_at"), F.lit(1 if feature_first else 0).alias("_o"), "_q")
-        both = f.unionByName(w, allowMissingColumns=True)
-        return running(blocked(both, "_at"), ("chrom",), ["_at", "_o"], maxima={"_hit": F.col("_f")}).where("_q is not null").select("_q", "_hit")
+        w = queries.select("chrom", query).distinct().select("chrom", at_query.cast("long").alias("_at"), F.lit(1 if feature_first else 0).alias("_o"), F.col(query).cast("long").alias("_q"))
+        both = running(blocked(f.unionByName(w, allowMissingColumns=True), "_at"), ("chrom",), ["_at", "_o"], maxima={out: F.col("_f")})
+        return both.where("_q is not null").select("chrom", F.col("_q").alias(query), out)
 
     # positions are negated to look ahead: the query comes before features at its own place
-    after = sweep(-F.col("start"), -F.col("end"), False).withColumnRenamed("_hit", "_next")
-    before = sweep(F.col("start" if strict else "end"), F.col("start") - (0 if strict else 1), True).withColumnRenamed("_hit", "_prev")
-    out = q.join(after, "_q", "left").join(before, "_q", "left")
-    for k in ("start", "end", "feat_id"):
-        out = out.withColumn(f"next_{k}", F.col("_next")[k]).withColumn(f"prev_{k}", F.col("_prev")[k])
-    return out.drop("_q", "_next", "_prev")
+    after = sweep(-F.col("start"), "end", -F.col("end"), False, "_next")
+    before = sweep(F.col("start" if strict else "end"), "start", F.col("start") - (0 if strict else 1), True, "_prev")
+    # the narrow table of different places is joined twice, the queries' rows once
+    places = queries.select("chrom", "start", "end").distinct().join(after, ["chrom", "end"], "left").join(before, ["chrom", "start"], "left")
+    found = queries.join(places, ["chrom", "start", "end"], "left")
+    both = [(side, k) for k in feature for side in ("next", "prev")]
+    return found.select(*queries.columns, *[F.col(f"_{side}")[k].alias(f"{side}_{k}") for side, k in both])
 
 
 def merge(df: DataFrame, separation: int = 0, by: tuple = ("chrom",), least: int = 0) -> DataFrame:
@@ -135,10 +137,14 @@ def dedupe(df: DataFrame, by: tuple = ("chrom", "strand")) -> DataFrame:
 
 def join_near(df: DataFrame, overlap: int, by: tuple = ("chrom", "strand")) -> DataFrame:
     """Elements whose starts follow each other within `overlap` bases become one, ending where the last does."""
-    order = Window.partitionBy(*by).orderBy("start", "end", "el_id")
-    gap = F.col("start") - F.lag("start").over(order)
-    islands = df.withColumn("_new", (gap.isNull() | (gap > overlap)).cast("int")).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
+    return _islands(df, by, overlap).groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
+
+
+def _islands(df: DataFrame, by: tuple, gap: int) -> DataFrame:
+    """Adds _island, naming the chain of rows whose starts follow each other within `gap` bases."""
+    reached = running(blocked(df, "start"), by, ["start"], maxima={"_before": F.col("start")}, current=False)
+    opens = F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") > gap), F.col("start"))
+    return running(reached, by, ["start"], maxima={"_island": opens})
 
 
 def element_sets(ref: DataFrame, rel: DataFrame, kind: str, least_bases: int = 1, least_percent: float = 0.0) -> DataFrame:
@@ -177,10 +183,10 @@ def regions_of_interest(df: DataFrame, max_gap: int, min_cover: int, min_length:
     with its first base and ends with its last accepted stretch; bpkm counts all of the run's reads over that length.
     """
     runs = depth(df).where("depth > 0")
-    order = Window.partitionBy("chrom").orderBy("start")
-    gap = F.col("start") - F.lag("end").over(order) - 1
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = runs.withColumn("_gap", gap).withColumn("_s", F.sum((F.col("_gap").isNull() | (F.col("_gap") > 0)).cast("int")).over(run)).withColumn("_r", F.sum((F.col("_gap").isNull() | (F.col("_gap") > max_gap)).cast("int")).over(run))
+    # runs do not overlap, so the greatest end before is that of the run before
+    reached = running(blocked(runs, "start"), ("chrom",), ["start"], maxima={"_before": F.col("end")}, current=False)
+    opens = lambda most: F.when(F.col("_before").isNull() | (F.col("start") - F.col("_before") - 1 > most), F.col("start"))
+    marked = running(reached, ("chrom",), ["start"], maxima={"_s": opens(0), "_r": opens(max_gap)})
     size = F.col("end") - F.col("start") + 1
     stretch = marked.groupBy("chrom", "_r", "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(size * F.col("depth")).alias("reads"), F.sum(F.when(F.col("depth") >= min_cover, size).otherwise(0)).alias("good"), F.sum(size).alias("len"))
     accepted = F.col("good") >= F.floor((F.col("len") + 1) / 2)

@@ -220,7 +220,6 @@ def _(loci):
 
 @query("w5_gaps_between_features", "features", oracle="""SELECT feat_id, start - lag("end") OVER (PARTITION BY chrom ORDER BY start, "end", feat_id) AS gap_before, lead(start) OVER (PARTITION BY chrom ORDER BY start, "end", feat_id) - "end" AS gap_after FROM features""")
 def _(features):
-    from pyspark.sql import Window
+    from strandframe.operators.features import gaps_between
 
-    w = Window.partitionBy("chrom").orderBy("start", "end", "feat_id")
-    return features.select("feat_id", (F.col("start") - F.lag("end").over(w)).alias("gap_before"), (F.lead("start").over(w) - F.col("end")).alias("gap_after"))
+    return gaps_between(features)

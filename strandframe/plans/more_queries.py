@@ -74,13 +74,31 @@ def _(reads):
     return reads.select("read_id", F.coalesce(F.array_max(sq.windows_in_common(same)), F.lit(0)).alias("longest"))
 
 
-@query("x28_random_draws", "features")
+def _u(seed: int, draw: int, key: str = "feat_id") -> str:
+    """The uniform draw of functions.random in SQL."""
+    return f"((CAST('0x' || substring(md5('{seed}:{draw}:' || {key}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+
+
+def _e(seed: int, draw: int) -> str:
+    return f"(-ln({_u(seed, draw)}))"
+
+
+def _z(seed: int) -> str:
+    return f"(sqrt(-2 * ln({_u(seed, 1)})) * cos(2 * pi() * {_u(seed, 2)}))"
+
+
+def _g(shape: int, seed: int = 0) -> str:
+    return "(" + " + ".join(_e(seed, 10 + i) for i in range(shape)) + ")"
+
+
+@query("x28_random_draws", "features", oracle=f"""SELECT feat_id, {_u(0, 0)} AS u, {_z(0)} AS z, {_e(0, 0)} AS e, {_g(3)} AS g, {_g(2)} / ({_g(2)} + {_g(3, 1)}) AS b, {_z(0)} / sqrt(2 * {_g(2, 7)} / 4) AS t,
+ CAST(len(list_filter(list_transform(range(34), lambda k: list_sum(list_transform(range(k + 1), lambda i: exp(i * ln(4.0) - lgamma(i + 1) - 4.0)))), lambda x: x < {_u(0, 3)})) AS INTEGER) AS p FROM features""")
 def _(features):
     k = F.col("feat_id")
     return features.select("feat_id", rn.uniform(k).alias("u"), rn.normal(k).alias("z"), rn.exponential(k).alias("e"), rn.gamma(k, 3).alias("g"), rn.beta(k, 2, 3).alias("b"), rn.student_t(k, 4).alias("t"), rn.poisson(k, 4.0).alias("p"))
 
 
-@query("s4_size_estimate", "reads")
+@query("s4_size_estimate", "reads", oracle=f"SELECT CAST(floor(count(*) / 0.5) AS BIGINT) AS n, avg(length(seq)) AS mean, CAST(max(length(seq)) AS INTEGER) AS longest FROM reads WHERE {_u(1, 0, 'read_id')} < 0.5")
 def _(reads):
     return lr.size_estimate(reads, 0.5)
 
