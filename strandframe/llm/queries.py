@@ -119,19 +119,14 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 _MIX = """
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, (sid - 1) % 3 + 1 AS w, size * 3 AS cap, sum(size) OVER () AS total FROM s),
 r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 c AS (SELECT *, cap * rest <= (total - before) * w AS capped FROM r),
 t AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS DOUBLE) * w / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM c),
-u AS (SELECT *, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / total AS hi, greatest(1, least(4096, CAST(floor(min(CASE WHEN target > 0 THEN target END) OVER () / 1000) AS BIGINT))) AS block FROM t),
-v AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0.0) AS lo FROM u),
-p AS (SELECT (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x FROM range(CAST((SELECT ceil(max(total) / max(block)) FROM u) AS BIGINT)) AS q(i)),
-n AS (SELECT sid, count(*) AS slots FROM p JOIN v ON x - floor(x) >= lo AND (x - floor(x) < hi OR hi >= 1 - 1e-9) AND hi > lo GROUP BY sid),
-o AS (SELECT d.doc_id, d.source, d.size, v.size AS source_size, v.target, least(coalesce(n.slots, 0) * v.block, 3 * v.size) AS words,
-             sum(d.size) OVER (PARTITION BY v.sid ORDER BY k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-      FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN n ON n.sid = v.sid)
+o AS (SELECT d.doc_id, d.source, d.size, t.size AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words, sum(d.size) OVER (PARTITION BY t.sid ORDER BY k ROWS UNBOUNDED PRECEDING) - d.size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(greatest(0, least(words - start, size)) + greatest(0, least(words - start - source_size, size)) + greatest(0, least(words - start - 2 * source_size, size)) AS BIGINT) AS taken
 FROM o
