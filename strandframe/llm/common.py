@@ -16,10 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written to the cluster's shared checkpoint folder so that lineage ends here."""
+    """The rows of `df`, written to the cluster's shared checkpoint folder so that lineage ends here.
+
+    A session on this machine alone (master local) that names no folder gets one; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandframe-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandframe-"))
     return df.checkpoint(eager=True)
 
 
@@ -79,3 +85,34 @@ def running(df: DataFrame, within: list[str], bucket: str, order: list, value: s
     inside = Window.partitionBy(*within, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
     return placed.join(base, [*within, bucket]).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in")
+
+
+#: Ranges that sampled boundaries make at most (twice that where values repeat), and sampled values for each.
+COARSE, DRAWS = 1024, 16
+
+
+def spread(df: DataFrame, value: str, tie: str, weight: Column, rows_a_range: int) -> DataFrame:
+    """Adds _coarse and _fine: ranges, in this order, of rows ordered by `value` (a long, nulls first), then `tie` (md5 hex).
+
+    Coarse ranges come from sampled splitters, drawn with a chance in proportion to `weight`: quantiles of the sample
+    are the boundaries, at most COARSE of them, whatever the table's size. A value on which several boundaries fall has a
+    range of its own. A coarse range with more than `rows_a_range` rows is then subdivided evenly: by place between its
+    least and greatest value, or by tie where it has one value only. So the number of ranges grows with the table.
+    `df` is read four times: it should be a written table. Also adds _low, _high (values of the coarse range), _rows.
+    """
+    total = df.agg(F.sum(weight).alias("w")).first()["w"] or 0
+    chance = weight * float(COARSE * DRAWS) / float(max(1, total))
+    # which rows are drawn decides about work only, never about results
+    drawn = df.where(F.rand(11) < chance).select(value)
+    nth = F.row_number().over(Window.partitionBy().orderBy(F.col(value).asc_nulls_first()))
+    found = [r[value] for r in drawn.withColumn("_n", nth).where(F.col("_n") % DRAWS == 0).orderBy("_n").collect()]
+    known = [x for x in found if x is not None]
+    bounds = sorted({*known, *(a + 1 for a, b in zip(known, known[1:]) if a == b)})
+    ranged = df.withColumn("_coarse", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(at_most(F.col(value), bounds)).cast("int"))
+    # one row for each coarse range
+    table = ranged.groupBy("_coarse").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    parts = F.ceil(F.col("_rows") / rows_a_range)
+    between = (F.col(value) - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1)
+    by_tie = F.conv(F.substring(tie, 1, 8), 16, 10).cast("double") / 2.0**32
+    place = F.when(F.col("_low") < F.col("_high"), between).otherwise(by_tie)
+    return ranged.join(F.broadcast(table), "_coarse").withColumn("_fine", F.least(F.floor(place * parts), parts - 1).cast("long"))

@@ -88,9 +88,9 @@ e AS (SELECT DISTINCT md5(coalesce(text, '')) AS m, hex(coalesce(text, '')) AS x
 crc AS (SELECT m, CAST(xor(list_reduce(list_transform(range(n), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda a, b: xor(a // 256, t.v[1 + CAST(xor(a % 256, b) AS BIGINT)]), 4294967295), 4294967295) AS BIGINT) AS crc FROM e, t),
 k AS (SELECT doc_id, md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) + 8 AS size FROM documents),
 o AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS rank, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY m) AS whole
-      FROM k WINDOW w AS (ORDER BY m, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+      FROM k WINDOW w AS (ORDER BY m, md5(coalesce(CAST(doc_id AS VARCHAR), '')) ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT *, min(before) OVER (PARTITION BY m) AS start FROM o),
-s AS (SELECT *, CAST(least(floor(CASE WHEN whole <= 0.005 * total / 24 THEN start + whole / 2 ELSE before + size / 2 END * 24 / total), 23) AS INTEGER) AS shard FROM g)
+s AS (SELECT *, CAST(least(floor((CASE WHEN whole <= 0.005 * (total / 24.0::DOUBLE) THEN start + whole / 2.0::DOUBLE ELSE before + size / 2.0::DOUBLE END) * 24 / total), 23) AS INTEGER) AS shard FROM g)
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, CAST(rank - min(rank) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s JOIN crc USING (m)
 """

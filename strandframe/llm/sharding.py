@@ -1,71 +1,54 @@
 """Sharding by sampled splitters, for shards of near equal bytes.
 
-Records are ordered by the md5 of their text, then by id, so equal texts are neighbours. A sample of keys, drawn with
-a chance in proportion to size, gives quantile boundaries of many small ranges; a text so frequent that several
-boundaries fall on it has its range subdivided by id. Each range is summed apart, which gives every record the exact
+Records are ordered by the md5 of their text, then by that of their id, so equal texts are neighbours. A sample of keys,
+drawn with a chance in proportion to size, gives quantile boundaries of ranges; overfull ranges are subdivided, a text
+so frequent that it fills a range by the ids of its rows. Each range is summed apart, which gives every record the exact
 number of bytes and rows before it, hence its shard and its slot. Equal texts stay in one shard unless together they
 have over KEPT_WHOLE of a shard's bytes; such a group is cut where the bytes ask for it.
 
-Defined results: a null text has no bytes (size 8, the crc32 of the empty text); a null id comes first among equal
-texts; repeated rows get slots of their own; an empty table gives an empty table; extra columns are kept by `sharded`.
+Defined results: a null text has no bytes (size 8, the crc32 of the empty text); a null id counts as an empty one;
+repeated rows (equal id and text) get slots of their own in any order; an empty table gives an empty table; extra
+columns, whatever their names, are kept by `sharded`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_most, cut, running
+from .common import cut, running, spread
 
 LAW = "bytes"
-#: Rows in a range, on average; bounds of the number of ranges; sampled keys for each range.
-RANGE_ROWS, RANGES_LEAST, RANGES_MOST, DRAWS = 2000, 96, 10_000, 16
+RANGE_ROWS = 2000
 KEPT_WHOLE = 0.005
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns `more`, size, text_crc32 and the key (md5 as text, its first 60 bits as a number)."""
+    """doc_id, the columns `more`, size, text_crc32 and the keys: md5 of text and id, and the text's first 60 bits."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    df = docs.select("doc_id", *more, (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("_md5"))
+    df = docs.select("doc_id", *more, (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("_md5"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_id"))
     return df.withColumn("_h", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("long"))
 
 
-def boundaries(keys: DataFrame, rows: int, total: int) -> list[tuple[int, int | None]]:
-    """Sorted (h, id) splitters; at most RANGES_MOST * DRAWS sampled keys, of which every DRAWS-th reaches the driver."""
-    ranges = max(RANGES_LEAST, min(RANGES_MOST, rows // RANGE_ROWS))
-    chance = F.col("size") * float(ranges * DRAWS) / float(max(1, total))
-    drawn = keys.where(F.pmod(F.xxhash64("doc_id", "_h", F.lit("draw")), F.lit(2**31)) < chance * 2**31).select("_h", "doc_id")
-    nth = F.row_number().over(Window.partitionBy().orderBy("_h", "doc_id"))
-    return [(r["_h"], r["doc_id"]) for r in drawn.withColumn("_n", nth).where(F.col("_n") % DRAWS == 0).orderBy("_n").collect()]
-
-
-def range_number(found: list[tuple[int, int | None]]) -> Column:
-    """The range of a record: by h, and inside an h that has several boundaries by id."""
-    ids: dict[int, list[int]] = {}
-    for h, i in found:
-        ids.setdefault(h, []).append(i)
-    hot = {h: sorted(x for x in v if x is not None) for h, v in ids.items() if len(v) > 1}
-    bounds = sorted({*ids, *(h + 1 for h in hot)})
-    inside = F.lit(0)
-    for h, at in hot.items():
-        inside = F.when(F.col("_h") == h, at_most(F.col("doc_id"), sorted(set(at)))).otherwise(inside)
-    return at_most(F.col("_h"), bounds).cast("long") * (RANGES_MOST * DRAWS) + inside
-
-
-def assign(keys: DataFrame, records: DataFrame, n_shards: int) -> DataFrame:
-    """`records` (with the columns of `keyed`) with shard and slot; `keys` are the same rows, used for sums."""
-    sums = keys.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
-    rows, total = sums["n"], sums["bytes"] or 0
-    order = ["_md5", F.col("doc_id").asc_nulls_first()]
-    df = records.withColumn("_range", range_number(boundaries(keys, rows, total))).withColumn("_one", F.lit(1))
-    df = running(df, [], "_range", order, "size", "_before")
-    df = running(df, [], "_range", order, "_one", "_rank")
-    group = Window.partitionBy("_range", "_md5")
-    whole = F.sum("size").over(group)
-    df = df.withColumn("_whole", whole).withColumn("_start", F.min("_before").over(group))
-    small = F.col("_whole") <= KEPT_WHOLE * total / n_shards
-    middle = F.when(small, F.col("_start") + F.col("_whole") / 2).otherwise(F.col("_before") + F.col("size") / 2)
-    df = df.withColumn("shard", F.least(F.floor(middle * n_shards / F.lit(float(max(1, total)))), F.lit(n_shards - 1)).cast("int"))
+def assign(records: DataFrame, n_shards: int) -> DataFrame:
+    """`records` (a written table with the columns of `keyed`) with shard and slot."""
+    df = spread(records, "_h", "_id", F.col("size"), RANGE_ROWS).withColumn("_one", F.lit(1))
+    order = ["_md5", "_id"]
+    df = running(df, ["_coarse"], "_fine", order, "size", "_bytes_in")
+    df = running(df, ["_coarse"], "_fine", order, "_one", "_rows_in")
+    # one row for each coarse range
+    sums = df.groupBy("_coarse").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy().orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_coarse", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_bytes_base"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows_base"), F.sum("_size").over(Window.partitionBy()).alias("_total"))
+    df = df.join(F.broadcast(base), "_coarse").withColumn("_before", F.col("_bytes_base") + F.col("_bytes_in")).withColumn("_rank", F.col("_rows_base") + F.col("_rows_in"))
+    # a text is within one range, or fills a coarse range whose sums are then its own
+    group = Window.partitionBy("_coarse", "_fine", "_md5")
+    alone = F.col("_low") == F.col("_high")
+    whole = F.when(alone, F.col("_size")).otherwise(F.sum("size").over(group))
+    start = F.when(alone, F.col("_bytes_base")).otherwise(F.min("_before").over(group))
+    share = F.col("_total") / F.lit(float(n_shards))
+    middle = F.when(whole <= KEPT_WHOLE * share, start + whole / 2).otherwise(F.col("_before") + F.col("size") / 2)
+    df = df.withColumn("shard", F.least(F.floor(middle * n_shards / F.col("_total")), F.lit(n_shards - 1)).cast("int"))
     firsts = df.groupBy("shard").agg(F.min("_rank").alias("_first"))
     # one row for each shard
     return df.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
@@ -73,11 +56,15 @@ def assign(keys: DataFrame, records: DataFrame, n_shards: int) -> DataFrame:
 
 def plan(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard and slot of every row; only narrow rows are shuffled."""
-    keys = cut(keyed(docs))
-    return assign(keys, keys, n_shards).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return assign(cut(keyed(docs)), n_shards).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame, n_shards: int = 24) -> DataFrame:
-    """All columns of `docs` with shard and slot, to be written with partitionBy("shard"); the text is shuffled once."""
-    whole = keyed(docs.select("doc_id", "text", F.struct("*").alias("_doc")), "_doc")
-    return assign(cut(keyed(docs)), whole, n_shards).select("_doc.*", "shard", "slot")
+    """All columns of `docs` with shard and slot, to be written with partitionBy("shard").
+
+    Keys are placed without the texts; rows meet their place by keys, and equal rows by their number among their equals.
+    """
+    number = Window.partitionBy("_md5", "_id").orderBy("size")
+    placed = assign(cut(keyed(docs)), n_shards).select("_md5", "_id", "shard", "slot").withColumn("_nth", F.row_number().over(Window.partitionBy("_md5", "_id").orderBy("slot")))
+    whole = keyed(docs.select("doc_id", "text", F.struct("*").alias("_doc")), "_doc").withColumn("_nth", F.row_number().over(number))
+    return whole.join(placed, ["_md5", "_id", "_nth"]).select("_doc.*", "shard", "slot")

@@ -128,18 +128,97 @@ def test_shards_are_even_and_keep_copies_together(spark, odd, none):
     assert sharding.sharded(odd, 3).columns == [*odd.columns, "shard", "slot"] and sharding.sharded(odd, 3).count() == odd.count()
 
 
-def test_fingerprints_estimate_weighted_jaccard(prose):
-    docs, _ = prose
+def test_shards_with_many_frequent_texts_and_null_ids(spark, monkeypatch):
+    """Small ranges, texts that fill ranges, repeated null ids: the shards equal one sort of all rows."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
+    rows = [(i, f"text {i % 300}") for i in range(6000)] + [(None, "a hot text without ids")] * 50 + [(10_000 + i, "a hot text") for i in range(3000)]
+    got = check_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 5)
+    md5 = lambda s: hashlib.md5(str(s).encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (md5(r[1]), md5("" if r[0] is None else r[0])))
+    size = lambda r: len(r[1]) + 8
+    total, whole, before = sum(map(size, rows)), Counter(), 0
+    for r in rows:
+        whole[r[1]] += size(r)
+    start, want = {}, []
+    for r in order:
+        start.setdefault(r[1], before)
+        middle = start[r[1]] + whole[r[1]] / 2 if whole[r[1]] <= sharding.KEPT_WHOLE * (total / 5) else before + size(r) / 2
+        want.append((r[0] or -1, min(4, int(middle * 5 / total))))
+        before += size(r)
+    assert sorted((r.doc_id or -1, r.shard) for r in got) == sorted(want)
+
+
+def weighted_jaccard(a, b):
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_fingerprints_estimate_weighted_jaccard(prose, monkeypatch):
+    """Edited texts, successors over the borders of ranges, and both likenesses against the exact similarity."""
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 30)
+    docs = prose[0].select((F.col("doc_id") * 3).alias("doc_id"), "text")
     text = {r.doc_id: r.text for r in docs.collect()}
     ids, off = sorted(text), []
-    for r in fingerprints.compare(docs).collect():
+    rows = fingerprints.compare(docs).collect()
+    assert sorted(r.doc_id for r in rows) == ids
+    bag = lambda t: Counter(WORD.findall(t.lower()))
+    for r in rows:
         t, after = text[r.doc_id], text[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
         k = len(t) // 4
         e = t[: len(t) - k] + after[:k]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        a, b = Counter(WORD.findall(t.lower())), Counter(WORD.findall(e.lower()))
-        off.append(r.near_edited - sum((a & b).values()) / sum((a | b).values()))
-    assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.5
+        off.append((r.near_edited - weighted_jaccard(bag(t), bag(e)), r.near_next - weighted_jaccard(bag(t), bag(after))))
+    for k in (0, 1):
+        one = [x[k] for x in off]
+        assert abs(sum(one) / len(one)) < 0.02 and max(map(abs, one)) < 0.32
+        assert (sum(x * x for x in one) / len(one)) ** 0.5 < 0.09
+
+
+def plain_samples(text):
+    """The fingerprint again, one draw after the other, with Spark's own hash of a long as the only part taken over."""
+    import math
+
+    import xxhash
+
+    def h(value, seed):
+        x = xxhash.xxh64(value, seed=seed).intdigest()
+        return x - 2**64 if x >= 2**63 else x
+
+    long = lambda x, seed: h((x % 2**64).to_bytes(8, "little"), seed)
+    int_ = lambda x, seed: h(x.to_bytes(4, "little"), seed)
+    out = []
+    terms = [(h(w.encode(), 42), n) for w, n in Counter(WORD.findall(text.lower())).items()]
+    for j in range(fingerprints.SAMPLES):
+        best = None
+        for term, n in terms:
+            one, two = (int_(2 * j + k, long(term, 42) % 2**64) for k in (0, 1))
+            hi, lo = (lambda x: ((x % 2**64 >> 32) + 0.5) * 2.0**-32), (lambda x: ((x % 2**32) + 0.5) * 2.0**-32)
+            r, c = -math.log(hi(one) * lo(one)), -math.log(hi(two) * lo(two))
+            b = lo((one % 2**64) ^ (two % 2**64))
+            t = math.floor(math.log(n) / r + b)
+            offer = (int((math.log(c) - r * (t - b + 1) + 96) * 2.0**24), ((one % 2**64) ^ (t * 0x9E3779B1)) % 2**32)
+            best = offer if best is None else min(best, offer)
+        out.append(f"{best[1]:08x}")
+    return "".join(out)
+
+
+def test_samples_one_by_one(prose):
+    docs = prose[0].where("doc_id < 12")
+    for r in fingerprints.fingerprints(docs).join(docs, "doc_id").collect():
+        want, got = plain_samples(r.text), r.fingerprint
+        assert sum(want[i : i + 8] == got[i : i + 8] for i in range(0, len(want), 8)) >= fingerprints.SAMPLES - 1
+
+
+def test_ranges_of_equal_and_null_ids(spark, monkeypatch):
+    """Ids that are null or equal for most rows are parted by their texts; every row keeps one successor in that order."""
+    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 20)
+    rows = [(None, f"no id {i} text") for i in range(300)] + [(7, f"the same id {i}") for i in range(300)] + [(i, f"own id {i}") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())
+    order = sorted(rows, key=key)
+    got = {(r.doc_id, r.text): r.edited for r in fingerprints.edited(df).collect()}
+    for n, (i, t) in enumerate(order):
+        k = len(t) // 4
+        assert got[i, t] == t[: len(t) - k] + order[(n + 1) % len(order)][1][:k]
 
 
 def test_fingerprints_of_odd_rows(odd, none):
