@@ -15,7 +15,8 @@ links that join components. Components come from hooking to the least neighbour
 
 Defined results: null or empty texts have an empty set and are linked with nothing; rows with equal ids are judged by
 their own text; a row with a null id takes part and its component is the least id of its group (null if it has none);
-an empty table gives an empty table; extra columns are ignored by `classes` and kept by `first_of_each`.
+an empty table gives an empty table; extra columns, whatever their names, are ignored by `classes` and kept by
+`first_of_each`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -151,14 +152,19 @@ def _sketch(size: int):
                     n.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     regs.append(registers(s).tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n", "key", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "text_key", "n", "key", "regs"])
 
     return run
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), key (names the set) and regs of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(size), "doc_id long, n long, key binary, regs binary")
+    """doc_id, text_key (names the text), n (set size), key (names the set) and regs of every row."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key"))
+    return named.mapInArrow(_sketch(size), "doc_id long, text_key string, n long, key binary, regs binary")
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def _sets(size: int):
@@ -290,30 +296,38 @@ def _keyed(size: int):
     return run
 
 
-def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (first of its component) of every row."""
+def _classed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n and comp (a number for the component; null without words) of every row."""
     small_batches(docs.sparkSession)
     rows = cut(sketch(docs, size))
     nodes = cut(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id()))
     comps = _component_of_nodes(docs, nodes, size, percent)
-    of = nodes.select("node", "key", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_key = of.join(least, "comp").select("key", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "key").join(by_key, "key").select("doc_id", "n", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    found = out.unionByName(alone)
+    by_key = nodes.select("node", "key").join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
+    return rows.drop("regs").join(by_key, "key", "left").select("doc_id", "text_key", "n", "comp")
+
+
+def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (first of its component) of every row."""
+    rows = cut(_classed(docs, size, percent))
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    alone = rows.where("comp is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = rows.join(least, "comp").select("doc_id", "n", "component_id").unionByName(alone)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, that come first (least id) in their component.
+    """The rows of `docs`, with all their columns, that come first in their component: least id (null last), then text.
 
-    Of rows with equal ids one stays; rows with a null id all stay, as nothing names them.
+    Rows are named by id and text, so rows of one id with different texts are judged apart; of rows that are equal in
+    both the one with the least hash of all its columns stays. Rows without a word are all kept.
     """
-    gone = classes(docs, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
     if "doc_id" not in docs.columns:
-        return stay
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = stay.where("doc_id is not null").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return numbered.unionByName(stay.where("doc_id is null")).select(*docs.columns)
+        raise ValueError("documents need a doc_id")
+    rows = _classed(docs, size, percent)
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "text_key")).alias("f")).select("f.*", F.lit(True).alias("_one"))
+    bare = rows.where("comp is null").select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "text_key", F.lit(False).alias("_one")).distinct()
+    whole = docs.select(F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), _text_key(F.col("text")).alias("text_key"), F.xxhash64(*docs.columns).alias("_hash"), F.struct("*").alias("_doc"))
+    name = ["_null", "_id", "text_key"]
+    stay = whole.join(first.unionByName(bare), name)
+    once = stay.withColumn("_nth", F.row_number().over(Window.partitionBy(*name).orderBy("_hash")))
+    return once.where("_nth = 1 or not _one").select("_doc.*")

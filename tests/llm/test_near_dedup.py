@@ -51,22 +51,29 @@ def test_odd_rows(odd, none):
     assert ids == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
 
 
-def test_many_borderline_copies_need_the_block_stage(spark):
+def test_first_rows_are_named_by_id_and_text(spark):
+    """Rows of one id with different texts are judged apart; null ids too; columns may be called what helpers are."""
+    a, b = ("some words that are said here " * 3).strip(), ("quite another text about other things " * 3).strip()
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (None, b, "u"), (None, "a third text which nobody has copied yet", "v"), (None, "a third text which nobody has copied yet", "v"), (3, "", "w"), (3, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth string").repartition(3)
+    kept = nd.first_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r["_nth"]) for r in kept.collect()) == sorted([(1, a, "x"), (2, b, "z"), (0, "a third text which nobody has copied yet", "v"), (3, "", "w"), (3, "", "w")])
+
+
+def test_many_borderline_copies_need_the_block_stage(spark, monkeypatch):
     """Copies of one text with their own random changes: about a fifth of all pairs is linked."""
     r = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(300):
+    for i in range(160):
         w = list(base)
         for _ in range(r.randint(1, 5)):
             w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    old, nd.BLOCK = nd.BLOCK, 64
-    try:
-        assert got(docs, 3, 85) == expected(rows, 3, 85)
-    finally:
-        nd.BLOCK = old
+    monkeypatch.setattr(nd, "BLOCK", 64)
+    assert got(docs, 3, 85) == expected(rows, 3, 85)
 
 
 def test_registers_merge_and_estimate():
