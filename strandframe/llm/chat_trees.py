@@ -1,17 +1,19 @@
 """Chat formatting from reply trees.
 
-Messages form trees: each names its parent. Self-joins that double their reach find every ancestor pair in as many
-rounds as the longest path has binary digits; a branch (root to leaf) is ranked by the mean score of its messages and
-the chosen ones are formatted, each as one conversation.
+Messages form trees: each names its parent. Self-joins that double their reach carry, for every message, the sum of
+scores and the length of its way to the root, in as many rounds as the longest way has binary digits. A branch (root to
+leaf) is ranked by the mean score of its messages; only the chosen ones are then expanded into their messages, by the
+same jumps, and formatted, each as one conversation.
 
 A turn is written `### <role>: <text></turn>` and a line break. Inside texts and roles the escape sign `\\` becomes
 `\\\\`, `</turn>` becomes `\\e` and `###` becomes `\\h` (in roles also `:` `\\c`), so control strings stand only where the
-template puts them, and reading back restores every text exactly. The loss mask is the text of assistant turns.
+template puts them, and reading back restores every text exactly. The loss mask, `loss_spans`, names the characters of
+the formatted text that are trained on: the (escaped) texts of assistant turns, as starts from 0 and lengths.
 
 Defined results: a null text or role is empty; a message whose parent is null or missing is a root; ties of branches
 go to the least leaf; messages with a null id are dropped from trees, since nothing can refer to them; repeated ids
-count once (least role and text); rows with a null tree belong to none and are
-dropped; cycles have no root and give no branch; empty tables give empty tables.
+count once (least role and text); rows with a null tree belong to none and are dropped, but rows with a null conv_id are
+one conversation; cycles have no root and give no branch; empty tables give empty tables; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,44 +61,60 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     `messages` has tree, node, parent, score.
     """
     nodes = cut(messages.where(F.col("node").isNotNull()).groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).alias("score")))
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    jump = cut(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")))
-    leaves = nodes.join(jump.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    paths = cut(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back")))
-    reach = 1
-    limit = nodes.count()
-    while reach <= limit and not jump.isEmpty():
-        # every path so far covers the last `reach` messages; the jumps add the `reach` before them
-        step = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + reach).alias("back"))
+    known = nodes.select("tree", F.col("node").alias("parent"), F.col("node").alias("up"))
+    # from each message to the one 2 ** round above it (up, null beyond the root), and what lies on that way
+    ways = cut(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")))
+    jumps, limit = [], nodes.count()
+    while 1 << len(jumps) <= limit:
+        jump = ways.where("up is not null")
+        if jump.isEmpty():
+            break
+        jumps.append(jump.select("tree", "node", "up"))
+        above = ways.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("sum").alias("more"), F.col("length").alias("further"))
+        longer = jump.join(above, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("length") + F.col("further")).alias("length"))
+        ways = cut(ways.where("up is null").unionByName(longer))
+    # what has no root by now is in a cycle or below one
+    leaves = ways.where("up is null").join(nodes.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    scored = leaves.select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("length")).alias("score"), "length")
+    ranked = cut(scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= best))
+    paths = ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        # the path is known at every 2 ** (k + 1)-th message; these jumps add those between
+        step = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         paths = cut(paths.unionByName(step))
-        further = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = cut(jump.withColumnRenamed("up", "mid").join(further.withColumnRenamed("up", "mid"), ["tree", "mid"]).select("tree", "node", F.col("top").alias("up")))
-        reach *= 2
-    scored = paths.join(nodes, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.max("back").alias("length"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= best)
-    return paths.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "node", (F.col("length") - F.col("back")).alias("depth"))
+    return paths.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "node", (F.col("length") - 1 - F.col("back")).alias("depth"))
 
 
 def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
-    """tree, leaf, rank, score and formatted of the `best` branches; `messages` also has role and text."""
+    """tree, leaf, rank, score, formatted and loss_spans of the `best` branches; `messages` also has role and text."""
     chosen = branches(messages, best)
     said = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turn"))
+    turns = chosen.join(said, ["tree", "node"]).select("tree", "leaf", "rank", "score", "depth", "turn.role", escape(F.col("turn.text")).alias("_text"), F.concat(F.lit(MARK + " "), escape(F.col("turn.role"), True), F.lit(": ")).alias("_head"))
+    whole = F.concat("_head", "_text", F.lit(END + "\n"))
+    before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("_from", F.coalesce(F.sum(F.length(whole)).over(before), F.lit(0)) + F.length("_head"))
     # one conversation is one row by definition of the output
-    rows = chosen.join(said, ["tree", "node"]).groupBy("tree", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct("depth", "turn.role", "turn.text"))).alias("turns"))
-    return rows.select("tree", "leaf", "rank", "score", format_turns(F.col("turns")).alias("formatted"))
+    item = F.struct("depth", whole.alias("part"), (F.col("role") == LOSS_ROLE).alias("loss"), F.col("_from").alias("start"), F.length("_text").cast("long").alias("length"))
+    rows = placed.groupBy("tree", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(item)).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return rows.select("tree", "leaf", "rank", "score", F.array_join(F.transform("parts", lambda t: t["part"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def linear(rows: DataFrame) -> DataFrame:
-    """Reply trees of one branch from conv_id, turn, role and text: each turn answers the one before it."""
-    nth = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    df = rows.withColumn("node", F.row_number().over(nth).cast("long"))
-    return df.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+    """Reply trees of one branch from conv_id, turn, role and text: each turn answers the one before it.
+
+    A tree is named by its conv_id as text, by the empty text where that is null.
+    """
+    named = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), "turn", "role", "text")
+    nth = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    df = named.withColumn("node", F.row_number().over(nth).cast("long"))
+    return df.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The figures of every conversation, from what is read back out of its formatted text."""
-    read = formatted.select("tree", "formatted", let(read_turns(F.col("formatted")), lambda t: t).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    """The figures of every linear conversation, read back out of its formatted text and its loss mask."""
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    read = formatted.select("tree", "formatted", loss.alias("_loss"), let(read_turns(F.col("formatted")), lambda t: t).alias("turns"))
     all_ = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    df = read.select("tree", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_.cast("binary"), 256).alias("turns_sha256"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
-    return df.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    df = read.select("tree", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_.cast("binary"), 256).alias("turns_sha256"), "_loss", F.length("formatted").cast("long").alias("formatted_chars"))
+    return df.select(F.when(F.col("tree") != "", F.col("tree")).cast("long").alias("conv_id"), "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

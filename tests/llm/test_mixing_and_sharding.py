@@ -248,11 +248,35 @@ def test_best_branches(spark):
     assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {("t", 1): [1, 3, 4], ("t", 2): [1, 2, 5], ("u", 1): [1]}
 
 
+def test_a_deep_tree_with_many_leaves(spark):
+    """A trunk with a leaf at every message: the best branches and their messages, against walking up from each leaf."""
+    rows = [("t", i, i - 1 if i else None, float(i * 37 % 11)) for i in range(40)] + [("t", 1000 + i, i, float(i * 53 % 13)) for i in range(40)]
+    parent, score = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    paths = {}
+    for leaf in {r[1] for r in rows} - {r[2] for r in rows}:
+        way, at = [], leaf
+        while at is not None:
+            way.append(at)
+            at = parent[at]
+        paths[leaf] = way[::-1]
+    best = sorted(paths, key=lambda x: (-sum(score[n] for n in paths[x]) / len(paths[x]), x))[:3]
+    got = {}
+    for r in chat_trees.branches(spark.createDataFrame(rows, "tree string, node long, parent long, score double").repartition(3), 3).collect():
+        got.setdefault((r.rank, r.leaf), []).append((r.depth, r.node))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {(k + 1, x): paths[x] for k, x in enumerate(best)}
+
+
+def test_loss_spans(spark):
+    rows = [(1, 0, "user", "a ### b"), (1, 1, "assistant", "so \\ it </turn> ends"), (1, 2, "assistant", ""), (1, 3, "user", "x"), (1, 4, "assistant", "😀 last")]
+    r = chat_trees.conversations(chat_trees.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["so \\\\ it \\e ends", "", "😀 last"]
+
+
 def test_long_linear_conversations(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(70)] + [(2, 0, None, None), (2, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     got = {r.conv_id: r for r in chat_trees.digest(chat_trees.conversations(chat_trees.linear(df))).collect()}
     said = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:70])
     assert got[1].n_turns == 70 and got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
-    assert got[1].loss_chars == len("".join(t for *_, r, t in rows[:70] if r == "assistant")) and got[2].n_turns == 2 and set(got) == {1, 2}
+    assert got[1].loss_chars == len("".join(t for *_, r, t in rows[:70] if r == "assistant")) and got[2].n_turns == 2 and set(got) == {1, 2, None} and got[None].n_turns == 1
     assert chat_trees.conversations(chat_trees.linear(df.where("conv_id = 9"))).count() == 0
