@@ -231,3 +231,21 @@ def isoform_trimmed(name: Column) -> Column:
 def windows_in_common(columns: Column) -> Column:
     """Lengths of gap-free stretches in an array of booleans (aligned columns)."""
     return F.transform(F.regexp_extract_all(F.array_join(F.transform(columns, lambda c: F.when(c, "1").otherwise("0")), ""), F.lit("(1+)"), F.lit(1)), F.length)
+
+
+#: Fixed values of name hashes: bits, seed, factor, shift and what stands for a hash of 0.
+NAME_HASHES = {16: (19937, 3119, 13, 19937), 24: (37199, 19937, 21, 1)}
+
+
+def name_hash(name: Column, bits: int) -> Column:
+    """16- or 24-bit hash of a name, lower-cased; 0 only for a null or empty one. Products wrap at 32 bits, signed."""
+    seed, factor, shift, instead = NAME_HASHES[bits]
+    chars = F.filter(F.split(F.lower(name), ""), lambda c: c != "")
+
+    def step(h: Column, c: Column) -> Column:
+        x = (h.bitwiseXOR(F.ascii(c).cast("long")) * factor).bitwiseAND(F.lit(0xFFFFFFFF))
+        signed = x.bitwiseXOR(F.lit(1 << 31)) - (1 << 31)
+        return signed.bitwiseXOR(F.shiftright(signed, shift)).bitwiseAND(F.lit((1 << bits) - 1))
+
+    found = F.aggregate(chars, F.lit(seed).cast("long"), step)
+    return F.when(F.coalesce(name, F.lit("")) == "", 0).when(found == 0, instead).otherwise(found).cast("long")

@@ -162,3 +162,22 @@ def priority_association(loci: DataFrame, features: DataFrame, distance: int) ->
     gap = F.greatest(F.col("b_start") - F.col("end"), F.col("start") - F.col("b_end"), F.lit(0))
     ranked = pairs.withColumn("weight", weight).withColumn("gap", gap).withColumn("_n", F.row_number().over(Window.partitionBy("el_id").orderBy(F.desc("weight"), F.when(F.col("weight") == 5, F.col("b_end") - F.col("b_start")).otherwise(F.col("gap")), "b_feat_id")))
     return ranked.where("_n = 1").select("el_id", F.col("b_feat_id").alias("feat_id"), "weight", "gap")
+
+
+def chrom_ids(features: DataFrame) -> DataFrame:
+    """chrom and chrom_id: chromosomes numbered from 1 by name, whatever the case of its letters."""
+    names = features.select(F.lower("chrom").alias("_name")).where("_name is not null").distinct()
+    # one row for each chromosome
+    return names.select(F.col("_name").alias("chrom"), F.row_number().over(Window.partitionBy().orderBy("_name")).alias("chrom_id"))
+
+
+def with_chrom_id(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds chrom_id by name, letters of either case; null for a chromosome that has none."""
+    known = ids.select(F.lower("chrom").alias("_name"), "chrom_id")
+    return df.withColumn("_name", F.lower("chrom")).join(known, "_name", "left").drop("_name")
+
+
+def ith_features(features: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The `ith` (from 1) feature of a chromosome in order of start, end and feat_id, for each (chrom, ith) of `wanted`."""
+    numbered = running(blocked(features, "start"), ("chrom",), ["start", "end", "feat_id"], sums={"ith": F.lit(1)})
+    return wanted.join(numbered.select(*features.columns, "ith"), ["chrom", "ith"])

@@ -79,3 +79,13 @@ def constrained(reads: DataFrame, constraints: DataFrame) -> DataFrame:
     ref = F.substring("ref_seq", F.col("_at") - F.col("start") + 1, F.lit(1))
     wrong = hits.where(~(F.col("b_accept").contains(base) | (F.col("b_accept").contains("R") & (base == ref)))).select("el_id").distinct()
     return reads.join(wrong, "el_id", "left_anti")
+
+
+def fields(df: DataFrame, numbers: list[int], column: str = "value") -> DataFrame:
+    """Lines of comma-separated fields with those of the given 1-based numbers, in that order; quotes stay as they are.
+
+    A number beyond a line's last field is left out of that line.
+    """
+    parts = F.regexp_extract_all(F.col(column), F.lit(r'(?:^|,)((?:"(?:[^"]|"")*"|[^,"])*)'), F.lit(1))
+    picked = F.filter(F.array(*[F.get(parts, F.lit(n - 1)) for n in numbers]), lambda x: x.isNotNull())
+    return df.withColumn(column, F.array_join(picked, ","))

@@ -22,7 +22,11 @@ def query(name: str, *shapes: str, oracle: str | None = None):
         Q[name] = lambda spark, sf_dir: f(*[shape(spark, sf_dir, s) for s in shapes])
         if oracle:
             head = sql(*shapes).rstrip()
-            SQL[name] = head + (",\n" + oracle[5:] if oracle.startswith("WITH ") else "\n" + oracle)
+            if oracle.startswith("WITH RECURSIVE "):
+                head, oracle_ = head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n", oracle[15:]
+            else:
+                head, oracle_ = (head + ",\n", oracle[5:]) if oracle.startswith("WITH ") else (head + "\n", oracle)
+            SQL[name] = head + oracle_
         return f
 
     return add
@@ -31,10 +35,10 @@ def query(name: str, *shapes: str, oracle: str | None = None):
 
 
 def _halves(reads):
-    return reads.select("read_id", F.substring("seq", 1, 60).alias("x"), F.substring("seq", 11, 60).alias("y"))
+    return reads.select("read_id", F.col("seq").alias("x"), F.expr("substring(seq, 11)").alias("y"))
 
 
-@query("x5_weighted_levenshtein", "reads", oracle="SELECT read_id, levenshtein(substring(seq, 1, 60), substring(seq, 11, 60)) AS cost FROM reads")
+@query("x5_weighted_levenshtein", "reads", oracle="SELECT read_id, levenshtein(seq, substring(seq, 11)) AS cost FROM reads")
 def _(reads):
     return _halves(reads).select("read_id", al.edit_cost_udf()("x", "y").alias("cost"))
 
@@ -54,10 +58,10 @@ def _(reads):
     return _halves(reads).select("read_id", al.global_alignment_udf()("x", "y").alias("s")).select("read_id", "s.*")
 
 
-@query("x29_structure_profile", "reads", oracle="""SELECT read_id, CAST(i - 1 AS INTEGER) AS pos, (strpos('ACGT', substring(seq, CAST(i AS BIGINT), 1)) * 10 + strpos('ACGT', substring(seq, CAST(i + 1 AS BIGINT), 1))) * 1.0::DOUBLE AS value FROM reads, range(1, 50) AS r(i) WHERE i < length(seq)""")
+@query("x29_structure_profile", "reads", oracle="""SELECT read_id, CAST(i - 1 AS INTEGER) AS pos, (strpos('ACGT', substring(seq, CAST(i AS BIGINT), 1)) * 10 + strpos('ACGT', substring(seq, CAST(i + 1 AS BIGINT), 1))) * 1.0::DOUBLE AS value FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq) - 1, 0) AS BIGINT) + 1)) AS i FROM reads)""")
 def _(reads):
     pairs = reads.sparkSession.range(16).select(F.concat(F.substring(F.lit("ACGT"), F.floor(F.col("id") / 4).cast("int") + 1, F.lit(1)), F.substring(F.lit("ACGT"), (F.col("id") % 4).cast("int") + 1, F.lit(1))).alias("kmer"), ((F.floor(F.col("id") / 4) + 1) * 10 + F.col("id") % 4 + 1).cast("double").alias("value"))
-    return dc.lookup_profile(reads.withColumn("seq", F.substring("seq", 1, 50)), pairs, 2)
+    return dc.lookup_profile(reads, pairs, 2)
 
 
 def _mates(reads):
@@ -102,26 +106,26 @@ def _(loci):
     return al.splice_junctions(h, 40).groupBy("read_id", "chrom", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j18_contaminant_trim", "reads", oracle="""WITH a AS (SELECT DISTINCT substring(seq, 21, 30) AS ad FROM reads WHERE length(seq) >= 80 AND read_id < 40), r AS (SELECT read_id, substring(seq, 1, 40) AS s FROM reads), h AS (SELECT read_id, max(n) AS n FROM r, a, range(8, 31) AS q(n) WHERE n <= length(s) AND hamming(right(s, CAST(n AS BIGINT)), left(ad, CAST(n AS BIGINT))) <= CASE WHEN n < 15 THEN 0 ELSE n // 25 END GROUP BY read_id) SELECT r.read_id, CAST(coalesce(h.n, 0) AS INTEGER) AS trim FROM r LEFT JOIN h ON h.read_id = r.read_id""")
+@query("j18_contaminant_trim", "reads", oracle="""WITH a AS (SELECT DISTINCT substring(seq, 21, 30) AS ad FROM reads WHERE length(seq) >= 80 AND read_id % 20 = 0), r AS (SELECT read_id, seq AS s FROM reads), h AS (SELECT read_id, max(n) AS n FROM r, a, range(8, 31) AS q(n) WHERE n <= length(s) AND hamming(right(s, CAST(n AS BIGINT)), left(ad, CAST(n AS BIGINT))) <= CASE WHEN n < 15 THEN 0 ELSE n // 25 END GROUP BY read_id) SELECT r.read_id, CAST(coalesce(h.n, 0) AS INTEGER) AS trim FROM r LEFT JOIN h ON h.read_id = r.read_id""")
 def _(reads):
-    adaptors = reads.where("length(seq) >= 80 AND read_id < 40").select(F.substring("seq", 21, 30).alias("seq"))
-    return al.contaminant_trim(reads.withColumn("seq", F.substring("seq", 1, 40)), adaptors, 8).select("read_id", "trim")
+    adaptors = reads.where("length(seq) >= 80 AND read_id % 20 = 0").select(F.substring("seq", 21, 30).alias("seq"))
+    return al.contaminant_trim(reads, adaptors, 8).select("read_id", "trim")
 
 
-@query("j18_vector_containment", "reads", oracle="SELECT DISTINCT r.read_id FROM (SELECT read_id, substring(seq, 5, 20) AS s FROM reads WHERE length(seq) >= 24) r JOIN (SELECT seq AS v FROM reads WHERE read_id < 60 UNION SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads WHERE read_id < 60) ON contains(v, r.s)")
+@query("j18_vector_containment", "reads", oracle="SELECT DISTINCT r.read_id FROM (SELECT read_id, seq AS s FROM reads WHERE length(seq) >= 12) r JOIN (SELECT seq AS v FROM reads WHERE read_id % 20 = 0 UNION SELECT reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads WHERE read_id % 20 = 0) ON contains(v, r.s)")
 def _(reads):
-    return al.vector_contained(reads.where("length(seq) >= 24").withColumn("seq", F.substring("seq", 5, 20)), reads.where("read_id < 60").select("seq"))
+    return al.vector_contained(reads, reads.where("read_id % 20 = 0").select("seq"))
 
 
 @query("j23_t7_t24_local_alignment", "reads")
 def _(reads):
-    queries = reads.where("length(seq) >= 200 AND read_id % 20 = 0").withColumn("seq", F.substring("seq", 51, 150))
+    queries = reads.where("read_id % 20 = 0")
     return al.top_paths(al.chained(al.seed_diagonals(queries, reads, 14), least=30)).select("query_id", "target_id", "strand", "score", "t_start", "t_end", "blocks", "rank")
 
 
-@query("j19_reciprocal_alignments", "edges", oracle="""WITH p AS (SELECT DISTINCT a % 30 AS a, a % 100 AS a_start, a % 100 + 20 AS a_end, b % 30 AS b, b % 90 AS b_start, b % 90 + 20 AS b_end FROM edges) SELECT DISTINCT p.* FROM p JOIN p o ON o.a = p.b AND o.b = p.a AND p.b_start <= o.a_end AND p.b_end >= o.a_start AND p.a_start <= o.b_end AND p.a_end >= o.b_start""")
+@query("j19_reciprocal_alignments", "edges", oracle="""WITH p AS (SELECT DISTINCT a, a % 100 AS a_start, a % 100 + 20 AS a_end, b - 1000000 AS b, b % 90 AS b_start, b % 90 + 20 AS b_end FROM edges) SELECT DISTINCT p.* FROM p JOIN p o ON o.a = p.b AND o.b = p.a AND p.b_start <= o.a_end AND p.b_end >= o.a_start AND p.a_start <= o.b_end AND p.a_end >= o.b_start""")
 def _(edges):
-    p = edges.select((F.col("a") % 30).alias("a"), (F.col("a") % 100).alias("a_start"), (F.col("a") % 100 + 20).alias("a_end"), (F.col("b") % 30).alias("b"), (F.col("b") % 90).alias("b_start"), (F.col("b") % 90 + 20).alias("b_end")).distinct()
+    p = edges.select(F.col("a"), (F.col("a") % 100).alias("a_start"), (F.col("a") % 100 + 20).alias("a_end"), (F.col("b") - 1_000_000).alias("b"), (F.col("b") % 90).alias("b_start"), (F.col("b") % 90 + 20).alias("b_end")).distinct()
     return al.reciprocal(p)
 
 
@@ -143,11 +147,11 @@ def _(reads):
     return dc.repeat_frequencies(dc.tandem_repeats(reads, 2, 5, 3))
 
 
-COLUMNS = "SELECT read_id AS block_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, CAST(i AS BIGINT), 1) AS ref, substring(seq, CAST(i + 7 AS BIGINT), 1) AS rel FROM reads, range(1, 101) AS r(i) WHERE i + 7 <= length(seq)"
+COLUMNS = "SELECT read_id AS block_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, CAST(i AS BIGINT), 1) AS ref, substring(seq, CAST(i + 7 AS BIGINT), 1) AS rel FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq) - 7, 0) AS BIGINT) + 1)) AS i FROM reads)"
 
 
 def _columns(reads):
-    cols = reads.select(F.col("read_id").alias("block_id"), F.posexplode(F.split(F.expr("substring(seq, 1, least(100, length(seq) - 7))"), "")).alias("pos", "ref"), "seq").where("ref <> ''")
+    cols = reads.select(F.col("read_id").alias("block_id"), F.posexplode(F.split(F.expr("substring(seq, 1, length(seq) - 7)"), "")).alias("pos", "ref"), "seq").where("ref <> ''")
     return cols.select("block_id", "pos", "ref", F.substring("seq", F.col("pos") + 8, F.lit(1)).alias("rel"))
 
 
@@ -166,11 +170,11 @@ def _(reads):
     return dc.column_statistics(_columns(reads))
 
 
-VOTES = "WITH v AS (SELECT read_id % 50 AS read_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, CAST(i AS BIGINT), 1) AS base FROM reads, range(1, 61) AS r(i) WHERE i <= length(seq)), n AS (SELECT read_id, pos, base, count(*) AS n FROM v GROUP BY ALL), k AS (SELECT read_id, pos, base, CAST(floor(100 * n / sum(n) OVER (PARTITION BY read_id, pos)) AS INTEGER) AS confidence, row_number() OVER (PARTITION BY read_id, pos ORDER BY n DESC, base) AS r FROM n)"
+VOTES = "WITH v AS (SELECT read_id // 20 * 20 AS read_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, CAST(i AS BIGINT), 1) AS base FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq), 0) AS BIGINT) + 1)) AS i FROM reads)), n AS (SELECT read_id, pos, base, count(*) AS n FROM v GROUP BY ALL), k AS (SELECT read_id, pos, base, CAST(floor(100 * n / sum(n) OVER (PARTITION BY read_id, pos)) AS INTEGER) AS confidence, row_number() OVER (PARTITION BY read_id, pos ORDER BY n DESC, base) AS r FROM n)"
 
 
 def _votes(reads):
-    return reads.select((F.col("read_id") % 50).alias("read_id"), F.posexplode(F.split(F.substring("seq", 1, 60), "")).alias("pos", "base")).where("base <> ''")
+    return reads.select(F.expr("read_id div 20 * 20").alias("read_id"), F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
 
 
 @query("t13_consensus", "reads", oracle=VOTES + " SELECT read_id, pos, base, confidence FROM k WHERE r = 1")
@@ -183,9 +187,9 @@ def _(reads):
     return dc.confidence_windows(_votes(reads), 5).select("read_id", "pos", "mean")
 
 
-@query("t14_error_correction", "reads", oracle=VOTES + ", m AS (SELECT read_id, pos, base FROM k WHERE r = 1 AND confidence >= 45), s AS (SELECT r.read_id, i, coalesce(m.base, substring(seq, CAST(i AS BIGINT), 1)) AS b FROM reads r JOIN range(1, 61) AS q(i) ON i <= length(seq) LEFT JOIN m ON m.read_id = r.read_id AND m.pos = i - 1 WHERE r.read_id < 50) SELECT read_id, string_agg(b, '' ORDER BY i) AS seq FROM s GROUP BY read_id")
+@query("t14_error_correction", "reads", oracle=VOTES + ", m AS (SELECT read_id, pos, base FROM k WHERE r = 1 AND confidence >= 45), s AS (SELECT r.read_id, i, coalesce(m.base, substring(seq, CAST(i AS BIGINT), 1)) AS b FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq), 0) AS BIGINT) + 1)) AS i FROM reads) r LEFT JOIN m ON m.read_id = r.read_id AND m.pos = i - 1 WHERE r.read_id % 20 = 0) SELECT read_id, string_agg(b, '' ORDER BY i) AS seq FROM s GROUP BY read_id")
 def _(reads):
-    short = reads.where("read_id < 50 AND length(seq) > 0").withColumn("seq", F.substring("seq", 1, 60))
+    short = reads.where("read_id % 20 = 0 AND length(seq) > 0")
     return dc.corrected(short, _votes(reads), 45).select("read_id", "seq")
 
 
@@ -217,9 +221,9 @@ def _(reads):
     return dc.stacks(reads, 5, 3)
 
 
-@query("a24_overlap_evidence", "reads", oracle="""WITH e AS (SELECT read_id, substring(seq, 1, 60) AS seq FROM reads WHERE length(seq) > 20 AND read_id < 400), x AS (SELECT DISTINCT a.read_id AS a, b.read_id AS b FROM e a, range(8, 21) AS r(n), e b WHERE a.read_id <> b.read_id AND n < length(a.seq) AND n < length(b.seq) AND right(a.seq, CAST(n AS BIGINT)) = left(b.seq, CAST(n AS BIGINT))) SELECT read_id FROM e WHERE read_id IN (SELECT a FROM x) AND read_id IN (SELECT b FROM x)""")
+@query("a24_overlap_evidence", "reads", oracle="""WITH e AS (SELECT read_id, n, right(seq, n) AS s, left(seq, n) AS p FROM reads, range(8, 21) AS r(n) WHERE length(seq) > 20 AND n < length(seq)), x AS (SELECT DISTINCT a.read_id AS a, b.read_id AS b FROM e a JOIN e b ON a.n = b.n AND a.s = b.p AND a.read_id <> b.read_id) SELECT read_id FROM reads WHERE read_id IN (SELECT a FROM x) AND read_id IN (SELECT b FROM x)""")
 def _(reads):
-    return dc.overlap_evidence(reads.where("length(seq) > 20 AND read_id < 400").withColumn("seq", F.substring("seq", 1, 60)), 8, 20, 1).select("read_id")
+    return dc.overlap_evidence(reads.where("length(seq) > 20"), 8, 20, 1).select("read_id")
 
 
 @query("t9_t10_assembly", "reads")
@@ -230,10 +234,10 @@ def _(reads):
     return dc.assembled(pieces.select((F.col("read_id") * 1_000_000 + F.col("i")).alias("read_id"), F.expr("substring(seq, 1 + 60 * i, 100)").alias("seq")), [35, 25])
 
 
-@query("t21_homozygous_reduction", "reads", oracle="""WITH k AS (SELECT DISTINCT read_id, length(seq) AS l, unnest(list_transform(range(1, CAST(greatest(length(seq) - 12 + 2, 1) AS BIGINT)), lambda i: substring(seq, i, 12))) AS kmer FROM reads WHERE read_id < 300), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id), s AS (SELECT a.read_id, b.read_id AS o, count(*) AS s FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id <> b.read_id AND (b.l > a.l OR b.l = a.l AND b.read_id < a.read_id) GROUP BY 1, 2)
-SELECT read_id FROM reads WHERE read_id < 300 AND read_id NOT IN (SELECT s.read_id FROM s JOIN n ON n.read_id = s.read_id WHERE s.s * 100 >= n.n * 60)""")
+@query("t21_homozygous_reduction", "reads", oracle="""WITH k AS (SELECT DISTINCT read_id, length(seq) AS l, unnest(list_transform(range(1, CAST(greatest(length(seq) - 12 + 2, 1) AS BIGINT)), lambda i: substring(seq, i, 12))) AS kmer FROM reads), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id), s AS (SELECT a.read_id, b.read_id AS o, count(*) AS s FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id <> b.read_id AND (b.l > a.l OR b.l = a.l AND b.read_id < a.read_id) GROUP BY 1, 2)
+SELECT read_id FROM reads WHERE read_id NOT IN (SELECT s.read_id FROM s JOIN n ON n.read_id = s.read_id WHERE s.s * 100 >= n.n * 60)""")
 def _(reads):
-    return dc.homozygous_reduced(reads.where("read_id < 300"), 12, 60).select("read_id")
+    return dc.homozygous_reduced(reads, 12, 60).select("read_id")
 
 
 @query("f8_region_filter", "sparse", "exons", oracle=BITS + "SELECT el_id, bits FROM (SELECT el_id, bit_or(bits) AS bits FROM b GROUP BY el_id) WHERE bits IN (1, 8)")
@@ -250,9 +254,10 @@ def _(features):
     return st.benjamini_hochberg(features.select("feat_id", ((F.col("score") + 1) / F.lit(1001.0)).alias("p")), "p").select("feat_id", "p", "q")
 
 
-@query("t12_highest_scoring_paths", "edges")
+@query("t12_highest_scoring_paths", "edges", oracle="""WITH RECURSIVE g AS (SELECT a AS u, 2 * a + b - 1000000 AS v, max(b % 5 + 1) AS s FROM edges GROUP BY 1, 2), p AS (SELECT u AS node, CAST(0 AS BIGINT) AS s FROM g UNION SELECT v, 0 FROM g UNION SELECT g.v, p.s + g.s FROM p JOIN g ON g.u = p.node) SELECT node, CAST(max(s) AS DOUBLE) AS best FROM p GROUP BY node""")
 def _(edges):
     from strandframe.operators.graph import highest_scoring_paths
 
-    small = edges.select((F.col("a") % 30).alias("u"), (F.col("b") % 30).alias("v"), (F.col("b") % 5 + 1).cast("double").alias("score")).where("u < v").groupBy("u", "v").agg(F.max("score").alias("score"))
-    return highest_scoring_paths(small)
+    # every edge leads to a greater number, so the graph is acyclic
+    graph = edges.select(F.col("a").alias("u"), (2 * F.col("a") + F.col("b") - 1_000_000).alias("v"), (F.col("b") % 5 + 1).cast("double").alias("score"))
+    return highest_scoring_paths(graph.groupBy("u", "v").agg(F.max("score").alias("score")))

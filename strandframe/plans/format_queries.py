@@ -69,6 +69,18 @@ def _(loci):
     return rd.alignment_elements(rd.parse_sam(_sam(loci)))
 
 
+@query("s13_k3_bam_records", "loci", oracle=f"""SELECT CAST(el_id AS VARCHAR) AS qname, CASE WHEN el_id % 9 = 0 THEN 4 WHEN strand = '-' THEN 16 ELSE 0 END AS flag, chrom AS rname, start AS pos, {CIGAR} AS cigar, CASE el_id % 3 WHEN 0 THEN '*' WHEN 1 THEN 'ACGTN' ELSE 'GATTAC' END AS seq, CASE el_id % 3 WHEN 0 THEN '*' WHEN 1 THEN 'IIII#' ELSE '*' END AS qual FROM loci""")
+def _(loci):
+    from strandframe.sources import bam
+
+    third = F.col("el_id") % 3
+    seq = F.when(third == 0, "*").when(third == 1, "ACGTN").otherwise("GATTAC")
+    flag = F.when(F.col("el_id") % 9 == 0, 4).when(F.col("strand") == "-", 16).otherwise(0)
+    rows = loci.select(F.col("el_id").cast("string").alias("qname"), flag.alias("flag"), F.col("chrom").alias("rname"), F.col("start").alias("pos"), F.lit(30).alias("mapq"), F.expr(CIGAR).alias("cigar"), F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), seq.alias("seq"), F.when(third == 1, "IIII#").otherwise("*").alias("qual"), F.concat_ws(":", "chrom", F.expr("start div 2000").cast("string")).alias("file"))
+    files = bam.encoded(rows, loci.select(F.col("chrom").alias("name"), F.lit(100_000).alias("len")).distinct(), "file")
+    return bam.decoded(files).select("qname", "flag", "rname", "pos", "cigar", "seq", "qual")
+
+
 @query("x16_cigar_lengths", "loci", oracle=f"""SELECT el_id, CASE {CIGAR} WHEN '10M' THEN 10 WHEN '5S10M2I3M' THEN 13 WHEN '4M100N6M' THEN 10 ELSE 11 END AS aligned, CASE {CIGAR} WHEN '10M' THEN 10 WHEN '5S10M2I3M' THEN 13 WHEN '4M100N6M' THEN 110 ELSE 14 END AS spanned FROM loci""")
 def _(loci):
     c = F.expr(CIGAR)
@@ -113,9 +125,9 @@ def _(features):
     return rd.parse_blast(features.select(line.alias("value"))).select("query", "chrom", "start", "end", "strand")
 
 
-@query("s17_k10_maf_phylip", "reads", oracle="""SELECT concat(rpad(cultivar, 10, ' '), string_agg(substring(seq, 1, 12), '' ORDER BY read_id)) AS value FROM reads WHERE length(seq) >= 12 AND read_id < 200 GROUP BY cultivar""")
+@query("s17_k10_maf_phylip", "reads", oracle="""SELECT concat(rpad(cultivar, 10, ' '), string_agg(substring(seq, 1, 12), '' ORDER BY read_id)) AS value FROM reads WHERE length(seq) >= 12 GROUP BY cultivar""")
 def _(reads):
-    rows = reads.where("length(seq) >= 12 AND read_id < 200")
+    rows = reads.where("length(seq) >= 12")
     blocks = wr.maf(rows.select(F.col("read_id").cast("double").alias("score"), F.array(F.struct(F.col("cultivar").alias("species"), F.lit("chr1").alias("chrom"), F.lit(0).cast("long").alias("ofs"), F.lit(12).cast("long").alias("len"), F.lit("+").alias("strand"), F.substring("seq", 1, 12).alias("seq"))).alias("rows")))
     parsed = rd.parse_maf(blocks).select(F.col("score").cast("long").alias("block_id"), F.inline("rows"))
     return wr.phylip(parsed)
@@ -150,13 +162,13 @@ def _(features):
 
 
 def _agp(reads):
-    piece = reads.where("length(seq) BETWEEN 1 AND 500 AND read_id < 300").select("read_id", F.length("seq").alias("n"), (F.col("read_id") % 7).alias("o"))
+    piece = reads.where("length(seq) BETWEEN 1 AND 500").select("read_id", F.length("seq").alias("n"), (F.col("read_id") % 7).alias("o"))
     gap = F.concat_ws("\t", F.concat(F.lit("obj"), F.col("o").cast("string")), F.lit("1"), F.lit("10"), (F.col("read_id") * 2 + 1).cast("string"), F.lit("N"), F.lit("10"), F.lit("fragment"), F.lit("yes"))
     part = F.concat_ws("\t", F.concat(F.lit("obj"), F.col("o").cast("string")), F.lit("1"), F.lit("1"), (F.col("read_id") * 2).cast("string"), F.lit("W"), F.col("read_id").cast("string"), F.lit("1"), F.col("n").cast("string"), F.when(F.col("read_id") % 2 == 0, "+").otherwise("-"))
     return piece.select(F.explode(F.array(part, gap)).alias("value"))
 
 
-@query("s24_t17_agp_assembly", "reads", oracle="""SELECT concat('obj', CAST(read_id % 7 AS VARCHAR)) AS object, string_agg(concat(CASE WHEN read_id % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END, 'NNNNNNNNNN'), '' ORDER BY read_id) AS seq FROM reads WHERE length(seq) BETWEEN 1 AND 500 AND read_id < 300 GROUP BY 1""")
+@query("s24_t17_agp_assembly", "reads", oracle="""SELECT concat('obj', CAST(read_id % 7 AS VARCHAR)) AS object, string_agg(concat(CASE WHEN read_id % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END, 'NNNNNNNNNN'), '' ORDER BY read_id) AS seq FROM reads WHERE length(seq) BETWEEN 1 AND 500 GROUP BY 1""")
 def _(reads):
     agp = rd.parse_agp(_agp(reads))
     comp = reads.select(F.col("read_id").cast("string").alias("comp_id"), F.col("seq").alias("_seq"))

@@ -26,35 +26,36 @@ def query(name: str, *shapes: str, oracle: str | None = None):
     return add
 
 
-@query("j13_micro_indels", "reads", oracle="""WITH p AS (SELECT read_id AS probe_id, substring(seq, 21, 12) AS a, substring(seq, 38, 12) AS b FROM reads WHERE length(seq) >= 80 AND read_id % 5 = 0 AND read_id < 200), w AS (SELECT read_id, i - 1 AS pos, substring(seq, CAST(i AS BIGINT), 12) AS k FROM reads, range(1, 6001) AS r(i) WHERE i <= length(seq) - 11)
-SELECT probe_id, l.read_id, CAST(l.pos AS INTEGER) AS ofs, CAST(r.pos - l.pos - 12 AS INTEGER) AS shift FROM p JOIN w l ON l.k = a JOIN w r ON r.k = b AND r.read_id = l.read_id WHERE r.pos > l.pos AND r.pos - l.pos - 12 <> 0 AND abs(r.pos - l.pos - 12) <= 20""")
+@query("j13_micro_indels", "reads", oracle="""WITH p AS (SELECT read_id AS probe_id, substring(seq, 21, 12) AS a, substring(seq, 38, 12) AS b FROM reads WHERE length(seq) >= 80 AND read_id % 20 = 0), w AS (SELECT read_id, i - 1 AS pos, substring(seq, i, 12) AS k FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq) - 11, 0) AS BIGINT) + 1)) AS i FROM reads)),
+l AS (SELECT probe_id, read_id, pos FROM p JOIN w ON k = a), r AS (SELECT probe_id, read_id, pos FROM p JOIN w ON k = b)
+SELECT probe_id, read_id, CAST(l.pos AS INTEGER) AS ofs, CAST(r.pos - l.pos - 12 AS INTEGER) AS shift FROM l JOIN r USING (probe_id, read_id) WHERE r.pos > l.pos AND r.pos - l.pos - 12 <> 0 AND abs(r.pos - l.pos - 12) <= 20""")
 def _(reads):
-    probes = reads.where("length(seq) >= 80 AND read_id % 5 = 0 AND read_id < 200").select(F.col("read_id").alias("probe_id"), F.concat(F.substring("seq", 21, 12), F.substring("seq", 38, 12)).alias("probe"))
+    probes = reads.where("length(seq) >= 80 AND read_id % 20 = 0").select(F.col("read_id").alias("probe_id"), F.concat(F.substring("seq", 21, 12), F.substring("seq", 38, 12)).alias("probe"))
     return lr.micro_indels(probes, reads, 12)
 
 
 @query("j15_chimeric_trim", "reads")
 def _(reads):
-    pairs = reads.where("length(seq) >= 60").select("read_id", F.substring("seq", 1, 60).alias("seq"), F.concat(F.substring("seq", 1, 45), F.reverse(F.substring("seq", 46, 15))).alias("ref_seq"))
+    pairs = reads.where("length(seq) >= 60").select("read_id", "seq", F.expr("concat(substring(seq, 1, length(seq) * 3 div 4), reverse(substring(seq, 1 + length(seq) * 3 div 4)))").alias("ref_seq"))
     return lr.chimeric(pairs).select("read_id", "start", "len")
 
 
-@query("x32_hairpin_passes", "reads", oracle="SELECT read_id, substring(seq, 1, 30) AS first, CAST(2 AS INTEGER) AS n FROM reads WHERE length(seq) >= 30")
+@query("x32_hairpin_passes", "reads", oracle="SELECT read_id, seq AS first, CAST(2 AS INTEGER) AS n FROM reads WHERE length(seq) >= 30")
 def _(reads):
     adaptor = "NNGGCCNNGGCCNNGGCC"
-    two = reads.where("length(seq) >= 30").select("read_id", F.concat(F.substring("seq", 1, 30), F.lit(adaptor), sq.reverse_complement(F.substring("seq", 1, 30))).alias("seq"))
+    two = reads.where("length(seq) >= 30").select("read_id", F.concat("seq", F.lit(adaptor), sq.reverse_complement(F.col("seq"))).alias("seq"))
     return lr.hairpins(two, adaptor, 1).select("read_id", F.get("passes", F.lit(0)).alias("first"), F.size("passes").alias("n"))
 
 
 @query("x9_structural_alignment", "reads")
 def _(reads):
     values = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
-    return lr.value_alignment(reads.select("read_id", values(F.substring("seq", 1, 20)).alias("a"), values(F.substring("seq", 6, 20)).alias("b"))).select("read_id", "score")
+    return lr.value_alignment(reads.select("read_id", values(F.col("seq")).alias("a"), values(F.expr("substring(seq, 6)")).alias("b"))).select("read_id", "score")
 
 
-@query("t23_dyad_scan", "reads", oracle="""WITH v AS (SELECT read_id, CAST(i - 1 AS INTEGER) AS pos, strpos('ACGT', substring(seq, CAST(i AS BIGINT), 1)) * 1.0::DOUBLE AS value FROM reads, range(1, 101) AS r(i) WHERE i <= length(seq)), s AS (SELECT *, (sum(value) OVER w - value) / nullif(count(*) OVER w - 1, 0) AS around FROM v WINDOW w AS (PARTITION BY read_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT read_id, pos, value, around FROM s WHERE around > 0 AND value >= 1.5 * around""")
+@query("t23_dyad_scan", "reads", oracle="""WITH v AS (SELECT read_id, CAST(i - 1 AS INTEGER) AS pos, strpos('ACGT', substring(seq, CAST(i AS BIGINT), 1)) * 1.0::DOUBLE AS value FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq), 0) AS BIGINT) + 1)) AS i FROM reads)), s AS (SELECT *, (sum(value) OVER w - value) / nullif(count(*) OVER w - 1, 0) AS around FROM v WINDOW w AS (PARTITION BY read_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT read_id, pos, value, around FROM s WHERE around > 0 AND value >= 1.5 * around""")
 def _(reads):
-    v = reads.where("length(seq) > 1").select("read_id", F.posexplode(F.split(F.substring("seq", 1, 100), "")).alias("pos", "b")).where("b <> ''").select("read_id", "pos", (F.when(F.col("b") == "A", 1).when(F.col("b") == "C", 2).when(F.col("b") == "G", 3).otherwise(4)).cast("double").alias("value"))
+    v = reads.where("length(seq) > 1").select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "b")).where("b <> ''").select("read_id", "pos", (F.when(F.col("b") == "A", 1).when(F.col("b") == "C", 2).when(F.col("b") == "G", 3).otherwise(4)).cast("double").alias("value"))
     return lr.dyads(v, 5, 1.5)
 
 
@@ -63,14 +64,37 @@ def _(quals):
     return rd.phred_dialect(quals)
 
 
-@query("x21_name_hash", "features", oracle="SELECT count(DISTINCT name) AS names FROM features")
+@query("x21_name_hash", "features", oracle="SELECT feat_id, CASE h16 WHEN 0 THEN 19937 ELSE h16 END AS h16, CASE h24 WHEN 0 THEN 1 ELSE h24 END AS h24 FROM (SELECT feat_id, list_reduce(list_prepend(CAST(19937 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substring(lower(name), i, 1)) AS BIGINT))), lambda h, c: xor(((xor(h, c) * 3119) & 4294967295) - CASE WHEN ((xor(h, c) * 3119) & 2147483648) <> 0 THEN 4294967296 ELSE 0 END, (((xor(h, c) * 3119) & 4294967295) - CASE WHEN ((xor(h, c) * 3119) & 2147483648) <> 0 THEN 4294967296 ELSE 0 END) >> 13) & 65535) AS h16, list_reduce(list_prepend(CAST(37199 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substring(lower(name), i, 1)) AS BIGINT))), lambda h, c: xor(((xor(h, c) * 19937) & 4294967295) - CASE WHEN ((xor(h, c) * 19937) & 2147483648) <> 0 THEN 4294967296 ELSE 0 END, (((xor(h, c) * 19937) & 4294967295) - CASE WHEN ((xor(h, c) * 19937) & 2147483648) <> 0 THEN 4294967296 ELSE 0 END) >> 21) & 16777215) AS h24 FROM features)")
 def _(features):
-    return features.select(F.count_distinct(F.xxhash64("name")).alias("names"))
+    return features.select("feat_id", sq.name_hash(F.col("name"), 16).alias("h16"), sq.name_hash(F.col("name"), 24).alias("h24"))
 
 
-@query("x23_common_subsequences", "reads", oracle="SELECT read_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(translate(replace(substring(seq, 1, 200), 'A', '1'), 'CGT', '000'), '1+'), lambda x: length(x))), 0) AS INTEGER) AS longest FROM reads")
+@query("f20_field_projection", "features", oracle="SELECT concat(chr(34), name, ', ', chr(34), chr(34), 'x', chr(34), chr(34), chr(34), ',', CAST(feat_id AS VARCHAR), ',', CAST(score AS VARCHAR)) AS value FROM features")
+def _(features):
+    from strandframe.operators.filters import fields
+
+    line = F.concat_ws(",", F.col("feat_id").cast("string"), F.col("chrom"), F.concat(F.lit('"'), "name", F.lit(', ""x"""')), F.col("score").cast("string"), F.lit(""))
+    return fields(features.select(line.alias("value")), [3, 1, 4, 9])
+
+
+@query("j9_chrom_lookup", "loci", "features", oracle="""WITH i AS (SELECT name, row_number() OVER (ORDER BY name) AS chrom_id FROM (SELECT DISTINCT lower(chrom) AS name FROM features WHERE chrom <> 'chr5')) SELECT el_id, CAST(chrom_id AS INTEGER) AS chrom_id FROM loci LEFT JOIN i ON name = lower(chrom)""")
+def _(loci, features):
+    from strandframe.operators.features import chrom_ids, with_chrom_id
+
+    return with_chrom_id(loci.withColumn("chrom", F.upper("chrom")), chrom_ids(features.where("chrom <> 'chr5'"))).select("el_id", "chrom_id")
+
+
+@query("j9_ith_feature", "features", oracle="""SELECT chrom, CAST(n AS BIGINT) AS ith, feat_id FROM (SELECT chrom, feat_id, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", feat_id) AS n FROM features) WHERE n IN (1, 7, 50)""")
+def _(features):
+    from strandframe.operators.features import ith_features
+
+    wanted = features.select("chrom").distinct().withColumn("ith", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 7, 50, 10**9)])))
+    return ith_features(features, wanted).select("chrom", "ith", "feat_id")
+
+
+@query("x23_common_subsequences", "reads", oracle="SELECT read_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(translate(replace(seq, 'A', '1'), 'CGT', '000'), '1+'), lambda x: length(x))), 0) AS INTEGER) AS longest FROM reads")
 def _(reads):
-    same = F.transform(F.filter(F.split(F.substring("seq", 1, 200), ""), lambda b: b != ""), lambda b: b == "A")
+    same = F.transform(F.filter(F.split("seq", ""), lambda b: b != ""), lambda b: b == "A")
     return reads.select("read_id", F.coalesce(F.array_max(sq.windows_in_common(same)), F.lit(0)).alias("longest"))
 
 
@@ -123,11 +147,11 @@ def _(reads):
     return out.groupBy("k", F.col("ofs").cast("long").alias("ofs")).agg(F.count_distinct("kmer").alias("kinds"), F.count(F.lit(1)).alias("n"))
 
 
-@query("t3_extended_markers", "reads", oracle="WITH w AS (SELECT read_id, i - 1 AS ofs, substring(seq, CAST(i AS BIGINT), 8) AS k FROM reads, range(1, 301) AS r(i) WHERE i <= length(seq) - 7), u AS (SELECT k FROM w GROUP BY k HAVING count(*) = 1), m AS (SELECT read_id, ofs, ofs - row_number() OVER (PARTITION BY read_id ORDER BY ofs) AS g FROM w WHERE k IN (SELECT k FROM u)) SELECT read_id, CAST(min(ofs) AS INTEGER) AS ofs, count(*) AS n FROM m GROUP BY read_id, g")
+@query("t3_extended_markers", "reads", oracle="WITH w AS (SELECT read_id, i - 1 AS ofs, substring(seq, CAST(i AS BIGINT), 8) AS k FROM (SELECT *, unnest(range(1, CAST(greatest(length(seq) - 7, 0) AS BIGINT) + 1)) AS i FROM reads)), u AS (SELECT k FROM w GROUP BY k HAVING count(*) = 1), m AS (SELECT read_id, ofs, ofs - row_number() OVER (PARTITION BY read_id ORDER BY ofs) AS g FROM w WHERE k IN (SELECT k FROM u)) SELECT read_id, CAST(min(ofs) AS INTEGER) AS ofs, count(*) AS n FROM m GROUP BY read_id, g")
 def _(reads):
     from strandframe.operators.kmers import extended_markers, kmer_table
 
-    w = kmer_table(reads.withColumn("seq", F.substring("seq", 1, 307)), "read_id", 8).select("read_id", "ofs", "kmer")
+    w = kmer_table(reads, "read_id", 8).select("read_id", "ofs", "kmer")
     unique = w.groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("kmer")
     return extended_markers(w.join(unique, "kmer", "left_semi"))
 

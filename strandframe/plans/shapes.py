@@ -10,8 +10,8 @@ FEATURES = """SELECT p_partkey AS feat_id, p_name AS name, concat('chr', CAST(p_
 LOCI = """SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS el_id, concat('chr', CAST(l_partkey % 6 AS VARCHAR)) AS chrom, (l_orderkey * 37 + l_linenumber * 11) % 50000 AS start,
   (l_orderkey * 37 + l_linenumber * 11) % 50000 + CAST(l_quantity AS BIGINT) - 1 AS "end", CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END AS strand, l_returnflag AS sample, l_linestatus AS cond FROM lineitem"""
 
-#: A thinner layer of loci for set operations, so that gaps remain.
-SPARSE = """SELECT el_id, chrom, start * 40 AS start, start * 40 + ("end" - start) AS "end", strand FROM loci WHERE el_id % 7 = 0"""
+#: All loci, spread over forty times the length, so that gaps remain.
+SPARSE = """SELECT el_id, chrom, start * 40 AS start, start * 40 + ("end" - start) AS "end", strand FROM loci"""
 
 READS = """SELECT doc_id AS read_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq, lang AS cultivar, source AS sample FROM documents"""
 
@@ -26,7 +26,7 @@ EXONS = """SELECT feat_id, name, chrom, strand, cds_start, cds_end, n_exons, i A
 
 SNPS = """SELECT event_id, user_id AS locus, CAST(event_id % 4 AS INTEGER) AS cultivar, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'N' END AS base FROM events"""
 
-EDGES = """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(1000000 + l_suppkey AS BIGINT) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND o_orderkey % 5 = 0"""
+EDGES = """SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(1000000 + l_suppkey AS BIGINT) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 
 ALL = {"features": FEATURES, "loci": LOCI, "sparse": SPARSE, "reads": READS, "quals": QUALS, "genes": GENES, "exons": EXONS, "snps": SNPS, "edges": EDGES}
 TABLES = {"features": ["part"], "loci": ["lineitem"], "reads": ["documents"], "quals": ["documents"], "snps": ["events"], "edges": ["orders", "lineitem"]}

@@ -233,11 +233,13 @@ SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen
 
 
 def parse_sam(df: DataFrame) -> DataFrame:
-    """SAM records; pos becomes 0-based, tags a map; header lines go."""
+    """SAM records; pos becomes 0-based, tags a map (the first of a repeated tag counts); header lines go."""
     parts = F.split("value", TAB)
     kinds = {"flag": "int", "mapq": "int", "pos": "long", "pnext": "long", "tlen": "long"}
     cols = [_field(parts, i, kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM)]
-    tags = F.map_from_entries(F.transform(F.slice(parts, F.lit(12), F.greatest(F.size(parts) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1 << 20))))
+    pairs = F.transform(F.slice(parts, F.lit(12), F.greatest(F.size(parts) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, 6, 1 << 20).alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    tags = F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(pairs, lambda x: x["k"] == k), F.lit(0))["v"]))
     return df.where(~F.col("value").startswith("@")).select(*cols, tags.alias("tags")).withColumn("pos", F.col("pos") - 1).withColumn("pnext", F.col("pnext") - 1)
 
 
