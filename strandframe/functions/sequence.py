@@ -89,15 +89,28 @@ def colour_space(seq: Column) -> Column:
     return F.when(F.length(seq) < 2, seq).otherwise(F.concat(F.substring(seq, 1, 1), F.array_join(steps, "")))
 
 
+#: Bases as they are, and with 1, 2 and 3 added bit by bit to their codes.
+ADDED = ("ACGT", "CATG", "GTAC", "TGCA")
+STRETCH = 256
+
+
 def from_colour_space(colours: Column) -> Column:
-    digits = F.split(F.substring(colours, 2, 1 << 30), "")
-    start = F.struct(_code(F.substring(colours, 1, 1)).alias("at"), F.substring(colours, 1, 1).alias("out"))
+    """Bases from a first base and colours: stretches are decoded as if they began at A, then moved to where they do."""
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, d: Column) -> Column:
+    def one(acc: Column, d: Column) -> Column:
         now = acc["at"].bitwiseXOR(d.cast("int"))
-        return F.struct(now.alias("at"), F.concat(acc["out"], F.substring(F.lit("ACGT"), now + 1, F.lit(1))).alias("out"))
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.substring(F.lit(ADDED[0]), now + 1, F.lit(1))).alias("out"))
+
+    def moved(text: Column, by: Column) -> Column:
+        return F.when(by == 0, text).when(by == 1, F.translate(text, ADDED[0], ADDED[1])).when(by == 2, F.translate(text, ADDED[0], ADDED[2])).otherwise(F.translate(text, ADDED[0], ADDED[3]))
 
-    return F.when(F.length(colours) < 2, colours).otherwise(F.aggregate(F.filter(digits, lambda d: d != ""), start, step, lambda acc: acc["out"]))
+    n = F.greatest(F.length(colours) - 1, F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int")), lambda k: F.substring(colours, k * STRETCH + 2, F.lit(STRETCH)))
+    alone = F.transform(parts, lambda p: F.aggregate(F.filter(F.split(p, ""), lambda d: d != ""), empty, one))
+    start = F.struct(_code(F.substring(colours, 1, 1)).alias("at"), F.array().cast("array<string>").alias("outs"))
+    whole = F.aggregate(alone, start, lambda acc, p: F.struct(acc["at"].bitwiseXOR(p["at"]).alias("at"), F.concat(acc["outs"], F.array(moved(p["out"], acc["at"]))).alias("outs")), lambda acc: acc["outs"])
+    return F.when(F.length(colours) < 2, colours).otherwise(F.concat(F.substring(colours, 1, 1), F.array_join(whole, "")))
 
 
 def _code(base: Column) -> Column:

@@ -88,4 +88,4 @@ def fields(df: DataFrame, numbers: list[int], column: str = "value") -> DataFram
     """
     parts = F.regexp_extract_all(F.col(column), F.lit(r'(?:^|,)((?:"(?:[^"]|"")*"|[^,"])*)'), F.lit(1))
     picked = F.filter(F.array(*[F.get(parts, F.lit(n - 1)) for n in numbers]), lambda x: x.isNotNull())
-    return df.withColumn(column, F.array_join(picked, ","))
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.array_join(picked, ",")))

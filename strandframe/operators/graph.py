@@ -73,10 +73,13 @@ def chains(edges: DataFrame) -> DataFrame:
 
 
 def highest_scoring_paths(edges: DataFrame, score: str = "score") -> DataFrame:
-    """For each node of an acyclic graph (u, v, score) the best sum of scores of a path that ends there."""
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    best = cut(nodes.withColumn("best", F.lit(0.0)))
-    for _ in range(nodes.count()):
+    """For each node of an acyclic graph (u, v, score) the best sum of scores of a path that ends there.
+
+    A round for each edge of the longest path; the edges are written once.
+    """
+    edges = cut(edges.select("u", "v", score))
+    best = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("best", F.lit(0.0)))
+    for _ in range(best.count()):
         step = edges.join(best.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.max(F.col("best") + F.col(score)).alias("next"))
         new = cut(best.join(step, "node", "left").select("node", F.greatest("best", F.coalesce("next", F.lit(0.0))).alias("best"), (F.coalesce("next", F.lit(0.0)) > F.col("best")).alias("moved")))
         best, moved = new.drop("moved"), not new.where("moved").isEmpty()
