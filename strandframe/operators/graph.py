@@ -112,3 +112,20 @@ def consensus_extension(overlaps: DataFrame) -> DataFrame:
     into = Window.partitionBy("b").orderBy(F.desc("overlap"))
     ranked = overlaps.withColumn("_o", F.rank().over(out)).withColumn("_i", F.rank().over(into)).where("_o = 1 and _i = 1")
     return unambiguous(ranked.select(F.col("a").alias("u"), F.col("b").alias("v"), "overlap"))
+
+
+def pair_scaffolds(pairs: DataFrame, least: int) -> DataFrame:
+    """contig, scaffold (its first contig), place and flipped of contigs that read pairs join.
+
+    `pairs` has a row for each pair: c1, s1, c2, s2, the contigs of its mates and the strands they map to; c1 leads to
+    c2. A link counts with at least `least` pairs and in the orientation (same strands or not) that most of them show,
+    the same one on ties. Contigs with several links out or in end their scaffold there. A contig is flipped if an odd
+    number of links from the scaffold's first contig to it joins opposite strands.
+    """
+    same = F.sum((F.col("s1") == F.col("s2")).cast("long"))
+    links = pairs.where("c1 <> c2").groupBy(F.col("c1").alias("u"), F.col("c2").alias("v")).agg(F.count(F.lit(1)).alias("n"), same.alias("same")).where(F.col("n") >= least)
+    kept = cut(unambiguous(links.select("u", "v", (F.col("same") * 2 < F.col("n")).cast("long").alias("turn"))))
+    placed = cut(chains(kept).join(kept.select(F.col("v").alias("node"), "turn"), "node", "left"))
+    before = Window.partitionBy("head").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.sum(F.coalesce("turn", F.lit(0))).over(before) % 2 == 1
+    return placed.select(F.col("node").alias("contig"), F.col("head").alias("scaffold"), "place", turned.alias("flipped"))

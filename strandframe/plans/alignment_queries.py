@@ -193,12 +193,21 @@ def _(reads):
     return dc.corrected(short, _votes(reads), 45).select("read_id", "seq")
 
 
-@query("t18_simulated_reads", "reads")
+def _u(what: str, *keys: str) -> str:
+    """The draw of discovery in SQL, seed 1."""
+    return f"((CAST('0x' || substring(md5(concat_ws(':', '1:0:{what}', {', '.join(keys)})), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+
+
+@query("t18_simulated_reads", "reads", oracle=f"""WITH p AS (SELECT row_number() OVER (ORDER BY read_id) AS number, read_id, seq, count(*) OVER () AS size FROM reads WHERE length(seq) >= 50),
+d AS (SELECT i AS sim_id, CAST(floor({_u("which", "i")} * (SELECT max(size) FROM p)) + 1 AS BIGINT) AS number FROM range(500) AS r(i)),
+g AS (SELECT sim_id, read_id, CAST(floor({_u("at", "sim_id")} * (length(seq) - 49)) AS INTEGER) AS start, CASE WHEN {_u("strand", "sim_id")} < 0.5 THEN '+' ELSE '-' END AS strand, seq FROM d JOIN p USING (number)),
+t AS (SELECT sim_id, read_id, start, strand, CASE strand WHEN '+' THEN substring(seq, start + 1, 50) ELSE reverse(translate(substring(seq, start + 1, 50), 'ACGT', 'TGCA')) END AS s FROM g)
+SELECT sim_id, read_id AS source, start, strand, array_to_string(list_transform(range(50), lambda i: CASE WHEN {_u("err", "sim_id", "i")} < list_extract([0.0, 0.02, 0.05], least(i + 1, 3)) THEN translate(substring(s, i + 1, 1), 'ACGT', 'CGTA') ELSE substring(s, i + 1, 1) END), '') AS seq, s AS true_seq FROM t""")
 def _(reads):
-    return dc.simulated_reads(reads, 500, 50, 0.02)
+    return dc.simulated_reads(reads, 500, 50, profile=[0.0, 0.02, 0.05])
 
 
-@query("t18_simulated_counts", "features")
+@query("t18_simulated_counts", "features", oracle=f"""SELECT feat_id, control, CAST(floor(CASE WHEN changed THEN control * 2.0::DOUBLE ELSE control END) AS BIGINT) AS experiment, changed FROM (SELECT feat_id, CAST(floor(-ln({_u("count", "feat_id")}) * 100) AS BIGINT) AS control, {_u("changed", "feat_id")} * 100 < 10 AS changed FROM features)""")
 def _(features):
     return dc.simulated_counts(features, 100, 2.0, 10)
 
@@ -208,7 +217,9 @@ def _(reads):
     return dc.fragments(reads, 80).groupBy("read_id").agg(F.sum("len").alias("bases"))
 
 
-@query("a42_bootstrap_hits", "reads")
+@query("a42_bootstrap_hits", "reads", oracle=f"""WITH p AS (SELECT read_id AS probe_id, substring(seq, 21, 20) AS k FROM reads WHERE length(seq) >= 60), w AS (SELECT DISTINCT substring(seq, i, 20) AS k FROM (SELECT seq, unnest(range(1, CAST(greatest(length(seq) - 19, 0) AS BIGINT) + 1)) AS i FROM reads)),
+h AS (SELECT probe_id FROM p WHERE k IN (SELECT k FROM w) OR reverse(translate(k, 'ACGT', 'TGCA')) IN (SELECT k FROM w)), d AS (SELECT round, {_u("boot", "probe_id", "round")} AS u FROM h, range(1, 21) AS r(round))
+SELECT CAST(round AS INTEGER) AS round, CAST(sum(len(list_filter([0.36788, 0.73576, 0.9197, 0.98101, 0.99634, 0.99941], lambda x: u > x))) AS BIGINT) AS hit, sum(len(list_filter([0.36788, 0.73576, 0.9197, 0.98101, 0.99634, 0.99941], lambda x: u > x))) * 1.0::DOUBLE / (SELECT count(*) FROM p) AS share FROM d GROUP BY round""")
 def _(reads):
     from strandframe.operators.kmers import probes_found
 
@@ -261,3 +272,12 @@ def _(edges):
     # every edge leads to a greater number, so the graph is acyclic
     graph = edges.select(F.col("a").alias("u"), (2 * F.col("a") + F.col("b") - 1_000_000).alias("v"), (F.col("b") % 5 + 1).cast("double").alias("score"))
     return highest_scoring_paths(graph.groupBy("u", "v").agg(F.max("score").alias("score")))
+
+
+@query("t10_pair_scaffolds", "features", oracle="""WITH RECURSIVE l AS (SELECT feat_id AS u, feat_id + 1 AS v, CASE WHEN feat_id % 3 = 0 THEN 1 ELSE 0 END AS turn FROM features WHERE feat_id % 4 + 1 >= 2 AND feat_id % 6 <> 5), w AS (SELECT u AS contig, u AS scaffold, CAST(0 AS BIGINT) AS place, 0 AS turns FROM l WHERE u NOT IN (SELECT v FROM l) UNION ALL SELECT l.v, w.scaffold, w.place + 1, w.turns + l.turn FROM w JOIN l ON l.u = w.contig) SELECT contig, scaffold, place, turns % 2 = 1 AS flipped FROM w""")
+def _(features):
+    from strandframe.operators.graph import pair_scaffolds
+
+    # one to four pairs from each contig to the next, a third of the links between opposite strands
+    pairs = features.where("feat_id % 6 <> 5").select(F.col("feat_id").alias("c1"), (F.col("feat_id") + 1).alias("c2"), F.lit("+").alias("s1"), F.when(F.col("feat_id") % 3 == 0, "-").otherwise("+").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("feat_id") % 4)))
+    return pair_scaffolds(pairs.select("c1", "s1", "c2", "s2"), 2)
