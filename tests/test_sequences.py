@@ -208,3 +208,48 @@ def test_random_draws_have_their_moments(spark):
     k = F.col("id")
     r = spark.range(20000).agg(F.avg(rn.normal(k)).alias("m"), F.stddev(rn.normal(k)).alias("s"), F.avg(rn.poisson(k, 4.0)).alias("p"), F.avg(rn.gamma(k, 3)).alias("g"), F.avg(rn.beta(k, 2, 2)).alias("b")).first()
     assert abs(r.m) < 0.03 and abs(r.s - 1) < 0.03 and abs(r.p - 4) < 0.08 and abs(r.g - 3) < 0.08 and abs(r.b - 0.5) < 0.02
+
+
+@given(hs.lists(hs.integers(0, 6), max_size=8), hs.lists(hs.integers(0, 6), max_size=8))
+def test_value_score_equals_the_table(a, b):
+    from strandframe.operators.alignment import value_score
+
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            best[i][j] = max(0.0, best[i - 1][j - 1] + 2.0 - abs(x - y), best[i - 1][j] - 3.0, best[i][j - 1] - 3.0)
+    assert value_score(a, b, 2.0, 3.0) == max(map(max, best))
+
+
+def test_chains_equal_all_subsets(spark):
+    """The best chain of a few stretches against every ordered subset of them."""
+    import itertools
+    import random
+
+    from strandframe.operators import alignment as al
+
+    r = random.Random(6)
+    groups = {(q, t): sorted({(r.randrange(300), r.randrange(300), r.randrange(15, 40)) for _ in range(6)}, key=lambda x: (x[1], x[0])) for q in range(4) for t in range(2)}
+    rows = [(q, t, "+", a, b, n, 1) for (q, t), blocks in groups.items() for a, b, n in blocks]
+    df = spark.createDataFrame(rows, "query_id long, target_id long, strand string, q_start long, t_start long, len long, seeds long")
+    got = {(x.query_id, x.target_id): x.score for x in al.chained(df, least=0).collect()}
+
+    def score(chain):
+        total = chain[0][2]
+        for (q0, t0, n0), (q1, t1, n1) in zip(chain, chain[1:]):
+            gq, gt = q1 - q0 - n0, t1 - t0 - n0
+            if gq < -8 or gt < -8:
+                return -1
+            total += n1 + min(0, gq, gt) - (5 + min(1 + max(gq, gt) // 10, 10) if max(gq, gt) > 0 else 0)
+        return total
+
+    for k, blocks in groups.items():
+        assert got[k] == max(score(c) for m in range(1, 7) for c in itertools.combinations(blocks, m))
+
+
+def test_simulated_indels(spark):
+    seqs = spark.createDataFrame([(1, "ACGT" * 200)], "read_id long, seq string")
+    rows = dc.simulated_reads(seqs, 60, 100, deleted=0.1, inserted=0.05).collect()
+    mean = sum(len(r.seq) for r in rows) / len(rows)
+    assert 92 < mean < 98 and all(len(r.true_seq) == 100 for r in rows)
+    assert rows == dc.simulated_reads(seqs, 60, 100, deleted=0.1, inserted=0.05).collect()
