@@ -113,15 +113,28 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.names.index(name))
 
 
-def first_of_copies(texts: list[list[int]], size: int = 5) -> list[int]:
-    """Positions of the texts (as lists of words) without those of whose shingles at least half stood in texts before."""
-    seen: set[tuple] = set()
-    out = []
-    for n, w in enumerate(texts):
-        own = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
-        if 2 * len(own & seen) < len(own):
+def first_of_copies(ends: np.ndarray, which: np.ndarray, size: int = 5) -> list[int]:
+    """Positions of the texts without those of whose shingles at least half stood in texts kept before.
+
+    Texts are given as `tokens` does. Shingles are numbered once, so that what has been seen is an array of flags.
+    """
+    mixed = which.astype(np.uint64) + np.uint64(1)
+    parts = []
+    for a, b in zip(ends, ends[1:]):
+        n = max(1, b - a - size + 1)
+        code = np.zeros(n, np.uint64)
+        for k in range(min(size, b - a)):
+            code = (code ^ mixed[a + k : a + k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        parts.append(np.unique(code))
+    known, number = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]), return_inverse=True)
+    seen, out, at = np.zeros(len(known), bool), [], 0
+    for n, part in enumerate(parts):
+        own = number[at : at + len(part)]
+        at += len(part)
+        if 2 * seen[own].sum() < len(own):
             out.append(n)
-            seen |= own
+            seen[own] = True
     return out
 
 
@@ -284,21 +297,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = labelled.get(1, 0) / max(1, sum(labelled.values()))
     # the sample has 2 * MAX_EXAMPLES rows at most; of several texts under one id the least is the example
-    known = sorted(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
-    ends, which, words = tokens(pa.array([r["text"] for r in known], pa.string()))
-    first = first_of_copies([which[i:j].tolist() for i, j in zip(ends, ends[1:])])
-    held = pa.array([known[n]["text"] for n in first], pa.string())
+    known = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    texts = known.column("text").combine_chunks()
+    ends, which, words = tokens(texts)
+    first = first_of_copies(ends, which)
     used = np.unique(np.concatenate([which[ends[n] : ends[n + 1]] for n in first] or [np.empty(0, np.int64)]))
+    del ends, which
     found = words.take(pa.array(used, pa.int64()))
     vocabulary = found.filter(pc.not_equal(found, ""))
     df, rows = document_frequencies(docs, vocabulary)
-    examples = [(known[n]["doc_id"], known[n]["toxic"], *v) for n, v in zip(first, Bags(held, vocabulary).each())]
+    at = pa.array(first, pa.int64())
+    ids, marks = (known.column(c).combine_chunks().take(at).to_pylist() for c in ("doc_id", "toxic"))
+    examples = [(i, y, *v) for i, y, v in zip(ids, marks, Bags(texts.take(at), vocabulary).each())]
+    del known, texts, words, found
     by = np.zeros((2, len(vocabulary)))
     for _, y, terms, _ in examples:
         by[y, terms] += 1
     toxic = sum(e[1] for e in examples)
     weight = (np.log((1 + rows) / (1 + df)) + 1) * (1 + separation(by[1], by[0], toxic, len(examples) - toxic))
-    return Model(vocabulary, weight, examples, share)
+    model = Model(vocabulary, weight, examples, share)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
