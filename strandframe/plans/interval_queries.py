@@ -30,7 +30,7 @@ OVER = 'least(l."end", f."end") - greatest(l.start, f.start) + 1'
 
 @query("j1_interval_overlap_join", "loci", "features", oracle=f"SELECT f.feat_id, count(*) AS n_loci, CAST(sum({OVER}) AS BIGINT) AS bases FROM loci l JOIN features f ON {PAIR} GROUP BY f.feat_id")
 def _(loci, features):
-    return iv.overlap_join(loci, features).groupBy(F.col("b_feat_id").alias("feat_id")).agg(F.count(F.lit(1)).alias("n_loci"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start") + 1).alias("bases"))
+    return iv.overlap_totals(loci, features, {"all": F.lit(1)}).where("n_all > 0").groupBy("feat_id").agg(F.sum("n_all").alias("n_loci"), F.sum("bases_all").alias("bases"))
 
 
 @query("j2_interval_semi_join", "sparse", "features", oracle=f'SELECT l.el_id, l.chrom, l.start, l."end" FROM sparse l WHERE EXISTS (SELECT 1 FROM features f WHERE {PAIR})')
@@ -57,12 +57,12 @@ def _flank(side: str) -> str:
 
 @query("j4_upstream_window_join", "sparse", "features", oracle=_flank("up"))
 def _(loci, features):
-    return iv.flank_join(loci, features, 200, "up").groupBy(F.col("b_feat_id").alias("feat_id")).agg(F.count(F.lit(1)).alias("n"))
+    return iv.overlap_totals(loci, iv.flanks(features, 200, "up"), {"all": F.lit(1)}).where("n_all > 0").groupBy("feat_id").agg(F.sum("n_all").alias("n"))
 
 
 @query("j4_downstream_window_join", "sparse", "features", oracle=_flank("down"))
 def _(loci, features):
-    return iv.flank_join(loci, features, 200, "down").groupBy(F.col("b_feat_id").alias("feat_id")).agg(F.count(F.lit(1)).alias("n"))
+    return iv.overlap_totals(loci, iv.flanks(features, 200, "down"), {"all": F.lit(1)}).where("n_all > 0").groupBy("feat_id").agg(F.sum("n_all").alias("n"))
 
 
 @query("j5_nearest_feature_join", "sparse", "features", oracle="""SELECT l.el_id,
