@@ -253,3 +253,37 @@ def test_simulated_indels(spark):
     mean = sum(len(r.seq) for r in rows) / len(rows)
     assert 92 < mean < 98 and all(len(r.true_seq) == 100 for r in rows)
     assert rows == dc.simulated_reads(seqs, 60, 100, deleted=0.1, inserted=0.05).collect()
+
+
+def test_seeded_hits_of_packed_and_other_letters_equal_brute_force(spark):
+    import random
+
+    from strandframe.operators import kmers as km
+
+    r = random.Random(12)
+    # few letters, so that most places share several parts
+    texts = [(i, "".join(r.choice("AAC" if i % 2 else "ACGTN") for _ in range(60))) for i in range(12)]
+    asked = [(i, "".join(r.choice("AAC" if i % 3 else "ACN") for _ in range(20))) for i in range(9)]
+    turn = str.maketrans("ACGT", "TGCA")
+    want = []
+    for i, p in asked:
+        for strand, q in (("+", p), ("-", p.translate(turn)[::-1])):
+            for j, t in texts:
+                for at in range(len(t) - 19):
+                    mm = sum(x != y for x, y in zip(q, t[at : at + 20]))
+                    if mm <= 2:
+                        want.append((i, j, at, strand, mm))
+    got = km.seeded_hits(spark.createDataFrame(asked, "probe_id long, probe string"), spark.createDataFrame(texts, "read_id long, seq string"), 20, 2).collect()
+    assert want and sorted(tuple(x) for x in got) == sorted(want)
+
+
+def test_contained_copies_and_long_colours(spark):
+    from strandframe.functions import sequence as sq
+    from strandframe.operators import kmers as km
+
+    long = "ACGTTGCAAC" * 3
+    rows = [(1, long), (2, long), (3, long[3:25]), (4, long[3:25]), (5, "ACG"), (6, "ACG"), (7, "T" * 30)]
+    df = spark.createDataFrame(rows, "read_id long, seq string")
+    assert sorted(r.read_id for r in km.contained(df, 16).collect()) == [2, 3, 4]
+    big = spark.createDataFrame([("ACGGT" * 200_000,), ("A",), ("",), (None,)], "s string")
+    assert all(r.s == r.t for r in big.select("s", sq.from_colour_space(sq.colour_space(big.s)).alias("t")).collect())
