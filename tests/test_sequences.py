@@ -296,3 +296,31 @@ def test_packed_windows_equal_clean_kmers(spark):
     df = spark.createDataFrame([(1, "ACGTNACGTACGT"), (2, "AC"), (3, ""), (4, None), (5, "TTTTTTéACGTT")], "read_id long, seq string")
     got = {(r.read_id, r.w) for r in km.packed_windows(df, "read_id", "seq", 4, once=True, clean=True).select("read_id", sq.kmer_from_code(F.col("code"), 4).alias("w")).collect()}
     assert got == {(r.read_id, r.w) for r in df.select("read_id", F.explode(sq.clean_kmers(F.col("seq"), 4)).alias("w")).collect()}
+
+
+def test_contaminant_trim_of_any_number_of_adaptors(spark):
+    r = random.Random(11)
+    word = lambda n, of="ACGT": "".join(r.choice(of) for _ in range(n))
+    # more than the list that was once the limit, and a few whose starts the reads end with
+    known = [word(30) for _ in range(20)] + [word(12) + "N" + word(15)]
+    adaptors = spark.createDataFrame([(a,) for a in known] + [(f"{word(5)}{i:06d}",) for i in range(10_100)], "seq string")
+    reads = []
+    for i in range(200):
+        a, n = r.choice(known), r.randrange(6, 31)
+        tail = list(a[:n])
+        for _ in range(r.randrange(3)):
+            tail[r.randrange(len(tail))] = r.choice("ACGTN")
+        reads.append((i, word(r.randrange(20)) + "".join(tail)))
+    reads += [(900, ""), (901, None), (902, "ACG")]
+
+    def trim(s):
+        best = 0
+        for a in known:
+            for n in range(8, min(len(s), len(a)) + 1):
+                wrong = sum(x == "N" or x != y and y != "N" for x, y in zip(s[len(s) - n :], a))
+                if wrong <= (0 if n < 15 else n // 25):
+                    best = max(best, n)
+        return best
+
+    got = {x.read_id: x.trim for x in al.contaminant_trim(spark.createDataFrame(reads, "read_id long, seq string"), adaptors, 8).collect()}
+    assert got == {i: trim(s or "") for i, s in reads} and max(got.values()) > 25
