@@ -324,3 +324,43 @@ def test_contaminant_trim_of_any_number_of_adaptors(spark):
 
     got = {x.read_id: x.trim for x in al.contaminant_trim(spark.createDataFrame(reads, "read_id long, seq string"), adaptors, 8).collect()}
     assert got == {i: trim(s or "") for i, s in reads} and max(got.values()) > 25
+
+
+def test_overlaps_of_copies_equal_brute_force(spark):
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("AC") for _ in range(n))
+    rows = [(i, word(r.randrange(3, 12))) for i in range(60)]
+    rows += [(100 + i, s) for i, (_, s) in enumerate(rows[:15])]
+    want = {}
+    for a, s in rows:
+        for b, t in rows:
+            n = max((n for n in range(4, 8) if n < len(s) and n < len(t) and s[-n:] == t[:n]), default=0)
+            if n and a != b:
+                want[a, b] = n
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    got = [tuple(x) for x in km.read_overlaps(reads, 4, 7).collect()]
+    assert sorted(got) == sorted((a, b, n) for (a, b), n in want.items())
+    ends = {x.read_id for x in km.overlapping_ends(reads, 4, 7).where("is_a and is_b").collect()}
+    assert ends == {a for a, _ in want} & {b for _, b in want}
+
+
+def test_overlap_evidence_forms_no_pairs(spark):
+    # 200 000 copies: 40 billion pairs
+    reads = spark.range(200_000).select(F.col("id").alias("read_id"), F.lit("ACACACACACAC").alias("seq"))
+    assert dc.overlap_evidence(reads, 4, 7, 2).count() == 200_000
+
+
+def test_micro_indels_equal_brute_force(spark):
+    from strandframe.operators import longread as lr
+
+    r = random.Random(18)
+    word = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    targets = [(i, word(r.randrange(60), "AC" if i % 2 else "ACN")) for i in range(30)] + [(90, "A" * 80), (91, "A" * 80), (92, None)]
+    probes = [(i, word(8, "AC" if i % 3 else "ACN")) for i in range(40)] + [(50, "AAAAAAAA"), (51, "AAAAAAAA"), (52, "AC")]
+    want = []
+    for p, x in probes:
+        for t, s in targets:
+            at = lambda k, s=s: [i for i in range(len(s or "") - 3) if s[i : i + 4] == k]
+            want += [(p, t, a, b - a - 4) for a in at(x[:4]) for b in at(x[4:]) if b > a and 0 < abs(b - a - 4) <= 5]
+    got = lr.micro_indels(spark.createDataFrame(probes, "probe_id long, probe string"), spark.createDataFrame(targets, "read_id long, seq string"), 4, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
